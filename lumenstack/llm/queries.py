@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import langid, packing, quality, token_files
 from .common import table, tokenizer_file
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,9 +21,19 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE), end_id=2)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
+    "op10_language": op10_language,
 }
 
 SQL: dict[str, str] = {}
