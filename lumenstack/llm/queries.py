@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, token_files
+from . import exact_dedup, langid, minhash, packing, quality, token_files
 from .common import table, tokenizer_file
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,6 +21,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE), end_id=2)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,9 +39,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_exact_duplicates": op7_exact_duplicates,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_language": op10_language,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_exact_duplicates": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+    """,
+}
