@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, minhash, packing, quality, token_files
+from . import exact_dedup, langid, media, minhash, packing, quality, token_files
 from .common import table, tokenizer_file
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE), separator=0)
 
@@ -38,6 +42,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op2_packing": op2_packing,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_exact_duplicates": op7_exact_duplicates,
