@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, media, minhash, packing, quality, token_files
+from . import exact_dedup, langid, licenses, media, minhash, packing, pieces, quality, token_files
 from .common import table, tokenizer_file
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE), end_id=2)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(table(spark, sf_dir, "documents"))
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_BPE))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +53,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_packing": op2_packing,
+    "op3_licenses": op3_licenses,
+    "op4_pieces": op4_pieces,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_exact_duplicates": op7_exact_duplicates,
     "op8_quality": op8_quality,
@@ -52,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_licenses": licenses.sql(),
     "op7_exact_duplicates": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
