@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, licenses, media, minhash, packing, pieces, quality, token_files
+from . import exact_dedup, langid, licenses, media, minhash, packing, pieces, quality, token_files, toxicity
 from .common import table, tokenizer_file
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_BPE))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_licenses": op3_licenses,
     "op4_pieces": op4_pieces,
+    "op5_toxicity": op5_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_exact_duplicates": op7_exact_duplicates,
     "op8_quality": op8_quality,
