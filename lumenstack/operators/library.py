@@ -184,6 +184,10 @@ def list_tags(tags: DataFrame, limit: int = 200) -> DataFrame:
 # settings and roots
 
 
+def get_setting(settings: DataFrame, key: str) -> DataFrame:
+    return settings.filter(F.col("setting_key") == key).select("setting_key", F.try_parse_json("value_json").alias("value"), "value_json")
+
+
 def set_setting(settings: DataFrame, rows: DataFrame) -> DataFrame:
     return upsert(settings, rows, ["setting_key"])
 
