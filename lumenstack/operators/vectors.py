@@ -8,6 +8,9 @@ neighbour limit is applied after all blocks of a row are seen.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,14 +78,14 @@ def components(edge_rows: DataFrame, rounds: int = 64) -> DataFrame:
     """face_id and the smallest id of its component, by label spreading with
     pointer jumping; stops when nothing changes."""
     both = edge_rows.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edge_rows.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    both = both.checkpoint() if _has_folder(both) else both.cache()
+    both = cut(both)
     label = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("face_id"), F.least("u", "m").alias("root"))
     for _ in range(rounds):
         seen = both.join(label.select(F.col("face_id").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("m"))
         new = label.join(seen.withColumnRenamed("u", "face_id"), "face_id").select("face_id", F.least("root", "m").alias("root"))
         jump = new.select(F.col("face_id").alias("root"), F.col("root").alias("r2"))
         new = new.join(jump, "root", "left").select("face_id", F.coalesce("r2", "root").alias("root"))
-        new = new.checkpoint() if _has_folder(new) else new.cache()
+        new = cut(new)
         changed = new.join(label.withColumnRenamed("root", "old"), "face_id").filter("root <> old").limit(1).count()
         label = new
         if not changed:
@@ -90,8 +93,17 @@ def components(edge_rows: DataFrame, rounds: int = 64) -> DataFrame:
     return label
 
 
-def _has_folder(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, so that plans of loops don't
+    grow. Only a local session without such a folder gets one of its own."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lumenstack-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def greedy_groups(ids: list, assets: list, vectors: np.ndarray, links: list[tuple[float, int, int]], threshold: float, slack: float) -> list[list[int]]:
