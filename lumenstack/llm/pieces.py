@@ -163,7 +163,7 @@ class PieceModel:
     def words(self, text: str) -> list[str]:
         """Marked words of a normalised text; joined, they are the marked text."""
         parts = text.split(" ")
-        if "" in parts[1:] or MARK in text:
+        if "" in parts or MARK in text:
             return [w for w in _WORD.findall(MARK + text.replace(" ", MARK)) if w]
         return [MARK + p for p in parts]
 
