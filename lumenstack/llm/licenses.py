@@ -78,8 +78,8 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     units = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"))
     units = units.select("doc_id", F.inline(F.concat(F.coalesce(whole, F.filter(each, lambda _: F.lit(False))), each)))
     units = units.filter((F.size("words") > low) & (F.size(F.array_distinct("words")) - 1 <= high))
-    n = F.size("words")
-    pairs = F.zip_with(F.slice("words", 1, n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    n = F.greatest(F.size("words") - 1, F.lit(0))  # the optimiser may ask for pairs of any unit
+    pairs = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
     grams = units.select("doc_id", "unit", F.array_distinct(pairs).alias("grams")).withColumn("size", F.size("grams"))
     close = F.filter(known, lambda t: F.col("size").between(t["lo"], t["hi"]))
     dice = F.transform(close, lambda t: F.struct((2.0 * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.col("size") + t["n"])).alias("dice"), t["rank"].alias("rank")))

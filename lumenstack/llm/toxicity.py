@@ -218,10 +218,17 @@ def _exposure_rows(docs: DataFrame, model: ToxicityModel):
     return run
 
 
+#: What misspelt and quoted exposure count against exact exposure where the
+#: sample says nothing else.
+PRIOR = np.array([1.0, 0.8, 0.1])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[tuple[float, ...], float]:
-    """Newton's method; the weights are kept from being negative."""
+    """Newton's method. The weights of misspelt and quoted exposure are drawn
+    towards their share of the exact one's, so that a sample without such hits
+    doesn't set them to nothing; none is negative."""
     order = np.lexsort((*x.T, y))
-    x, y = np.column_stack([x, np.ones(len(x))])[order], y[order]
+    x, y = np.column_stack([x @ PRIOR, x[:, 1:], np.ones(len(x))])[order], y[order]
     w = np.zeros(4)
     keep = np.array([ridge, ridge, ridge, 1e-4]) * len(x) / 100
     for _ in range(steps):
@@ -229,8 +236,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60
         g = x.T @ (p - y) + keep * w
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(keep + 1e-9)
         w = w - np.linalg.solve(h, g)
-        w[:3] = np.maximum(w[:3], 0)
-    return tuple(w[:3].tolist()), float(w[3])
+        w[0] = max(w[0], 0)
+    each = np.maximum(w[0] * PRIOR + np.array([0.0, w[1], w[2]]), 0)
+    return tuple(each.tolist()), float(w[3])
 
 
 _lexicons: dict[int, Lexicon] = {}
