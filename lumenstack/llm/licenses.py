@@ -67,23 +67,29 @@ def _templates(templates: dict[str, str], least: float) -> tuple[Column, list[st
     return F.array(*rows), names, low, high
 
 
+def _once(**columns: Column) -> list[Column]:
+    """Columns behind a generator of one row: the optimiser can't copy their
+    expressions into the filters and lambdas that use them."""
+    return [F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))]
+
+
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, unit (line number from 1; 0: the whole text), license_id, dice
     (6 digits) of every unit that reaches ``least`` with a template: its best one."""
     known, names, low, high = _templates(templates or TEMPLATES, least)
     plain = F.regexp_replace(F.translate("text", UPPER, LOWER), "[^a-z0-9\n]+", " ")
-    lines = F.transform(F.split(plain, "\n"), lambda x: F.filter(F.split(F.trim(x), " "), lambda w: w != ""))
-    whole = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(0).alias("unit"), F.flatten("lines").alias("words"))))
-    each = F.transform("lines", lambda ws, i: F.struct((i + 1).alias("unit"), ws.alias("words")))
-    units = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"))
-    units = units.select("doc_id", F.inline(F.concat(F.coalesce(whole, F.filter(each, lambda _: F.lit(False))), each)))
+    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *_once(plain=plain))
+    # unit 0 is the whole text if it has several lines, unit n its line n
+    whole = F.when(F.contains("plain", F.lit("\n")), F.regexp_replace("plain", "[ \n]+", " ")).otherwise("")
+    units = texts.select("doc_id", F.posexplode(F.concat(F.array(whole), F.split("plain", "\n"))).alias("unit", "line"))
+    units = units.select("doc_id", "unit", *_once(words=F.split(F.trim("line"), " ")))
     units = units.filter((F.size("words") > low) & (F.size(F.array_distinct("words")) - 1 <= high))
     n = F.greatest(F.size("words") - 1, F.lit(0))  # the optimiser may ask for pairs of any unit
     pairs = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = units.select("doc_id", "unit", F.array_distinct(pairs).alias("grams")).withColumn("size", F.size("grams"))
+    grams = units.select("doc_id", "unit", *_once(grams=F.array_distinct(pairs))).withColumn("size", F.size("grams"))
     close = F.filter(known, lambda t: F.col("size").between(t["lo"], t["hi"]))
     dice = F.transform(close, lambda t: F.struct((2.0 * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.col("size") + t["n"])).alias("dice"), t["rank"].alias("rank")))
-    best = grams.filter(F.col("size").between(low, high)).select("doc_id", "unit", F.array_max(dice).alias("best")).filter(F.col("best.dice") >= least)
+    best = grams.filter(F.col("size").between(low, high)).select("doc_id", "unit", *_once(best=F.array_max(dice))).filter(F.col("best.dice") >= least)
     name = F.element_at(F.array(*map(F.lit, names)), F.lit(1) - F.col("best.rank"))
     return best.select("doc_id", "unit", name.alias("license_id"), F.round("best.dice", 6).alias("dice"))
 
