@@ -4,6 +4,7 @@ folder, the hold-out rule and byte-bounded batching."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -115,6 +116,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             if size >= limit or i == len(texts) - 1:
                 yield batch.slice(start, i + 1 - start), [t or "" for t in texts[start : i + 1]]
                 start, size = i + 1, 0
+    _give_back()
+
+
+def _give_back() -> None:
+    """At a task's end, returns freed memory to the system: workers live on, and
+    those of earlier stages would hold theirs while later stages run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def local_path(path: str) -> str | None:
