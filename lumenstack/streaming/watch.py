@@ -1,7 +1,7 @@
 """Watching folders: a file is reported when its time of change is new.
 
-State is one time for each path, in a keyed state store; it is dropped after a
-file hasn't been seen for ``TTL``. Batches end when the trigger fires, so bursts
+State is one time for each path, in a keyed state store, without a timeout: that
+would keep starting batches without data. Batches end when the trigger fires, so bursts
 are handed on together. Half-written files fail the readiness filter and come
 again with their next change."""
 
@@ -18,7 +18,6 @@ from ..functions.names import extension_of
 from ..sources.listing import IMAGES, ready
 
 SEEN = "path string, modified_time timestamp, file_size long"
-TTL = 7 * 24 * 3600 * 1000
 
 
 def listing_stream(spark: SparkSession, folder: str, content: bool = True, files_per_batch: int = 1000) -> DataFrame:
@@ -30,9 +29,6 @@ def listing_stream(spark: SparkSession, folder: str, content: bool = True, files
 
 
 def _newer(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     last = state.get[0] if state.exists else None
     best = None
     for part in parts:
@@ -44,16 +40,17 @@ def _newer(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iter
     if last is None or now != last:
         state.update((now,))
         yield pd.DataFrame({"path": [key[0]], "modified_time": [best["modified_time"]], "file_size": [int(best["file_size"])]})
-    state.setTimeoutDuration(TTL)
 
 
 def changed_files(rows: DataFrame) -> DataFrame:
     """Of a stream of listing rows those whose time of change differs from the
     last one that was seen for the path."""
-    return rows.select("path", "modified_time", "file_size").groupBy("path").applyInPandasWithState(_newer, SEEN, "micros long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.select("path", "modified_time", "file_size").groupBy("path").applyInPandasWithState(_newer, SEEN, "micros long", "append", GroupStateTimeout.NoTimeout)
 
 
-def watch(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second"):
+def watch(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "1 second"):
     """Starts a query that hands each batch of changed files to ``handle``, which
-    should be an upsert by path: a batch may come again after a failure."""
-    return changed_files(rows).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    should be an upsert by path: a batch may come again after a failure. Without
+    ``every`` it ends once what is there is handled."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return changed_files(rows).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger).start()

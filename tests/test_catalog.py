@@ -312,12 +312,16 @@ def test_watch(spark, tmp_path):
     (folder / "a.jpg").write_bytes(jpeg)
     (folder / "cut.jpg").write_bytes(jpeg[:3])
     seen = []
-    rows_ = watch.listing_stream(spark, str(folder), content=False)
-    q = watch.watch(rows_, lambda df, _: seen.extend(r.path for r in df.collect()), str(tmp_path / "ck"), "0 seconds")
-    try:
-        q.processAllAvailable()
-        (folder / "b.jpg").write_bytes(jpeg)
-        q.processAllAvailable()
-    finally:
-        q.stop()
+
+    def run():
+        rows_ = watch.listing_stream(spark, str(folder), content=False)
+        q = watch.watch(rows_, lambda df, _: seen.extend(r.path for r in df.collect()), str(tmp_path / "ck"), None)
+        try:
+            assert q.awaitTermination(60)
+        finally:
+            q.stop()
+
+    run()
+    (folder / "b.jpg").write_bytes(jpeg)
+    run()
     assert sorted(p.rsplit("/", 1)[1] for p in seen) == ["a.jpg", "b.jpg"]
