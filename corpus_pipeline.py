@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenstack.llm import exact_dedup, langid, minhash, packing, quality
 from lumenstack.llm.common import staged, table, tokenizer_file
 
+#: Share of their five-word shingles from which documents are near copies here.
+NEAR = 0.8
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identified(docs, langid.fit(docs))
@@ -27,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.first_of_each(docs)
+    return minhash.first_of_each(docs, NEAR)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,10 @@ bucket's members are compared with its most central class (the one with the
 fullest buckets, such as the text that the others were made from). The second
 round lists only pairs of one bucket that no confirmed link has connected yet,
 which are what remains to be known about components. So candidate search has
-no cap, and a link of similarity s is missed with (1 - s^ROWS)^BANDS, 8e-6 at
-s = 0.85, or if more than ``MOST_APART`` coordinates differ, 2e-7 there.
+no cap. The least similarity of a link is a parameter, and ``similarity``
+derives the bands and the signature check from it: a link of similarity s is
+missed with (1 - s^ROWS)^bands, at most ``MISSED`` (8e-6 at 0.85, 1e-5 at 0.8),
+or if more than ``most_apart`` coordinates differ, at most ``MISSED_APART``.
 
 Comparisons stream: a leader's set is held while its members pass, in groups
 that are salted to ``GROUP`` members. Components come from alternating large
@@ -29,8 +31,12 @@ Empty table: no rows. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +47,13 @@ from .common import chunks, small_or_plain, staged
 from .textscan import join
 
 WORDS = 5
-ROWS, BANDS = 5, 20
+ROWS, MOST_BANDS = 5, 512
+#: Coordinates of which two bits are compared.
 COORDINATES = 128
-#: Of 128 two-bit coordinates 14.4 differ on average at 0.85 (deviation 3.6).
-MOST_APART = 36
-#: A link: NUMERATOR / DENOMINATOR of the union at least is shared.
-NUMERATOR, DENOMINATOR = 85, 100
+#: Share of the union that a link shares at least, unless another is asked for.
+LEAST = 0.85
+#: Bounds on the links of the least similarity that bands and the signature check miss.
+MISSED, MISSED_APART = 1e-5, 1e-7
 #: Members that are compared with one leader in one stream.
 GROUP = 256
 
@@ -55,7 +62,7 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _STEP = _rng.integers(1, 1 << 63, dtype=np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_BAND = _rng.integers(1, 1 << 63, (BANDS, ROWS + 1), dtype=np.uint64) | np.uint64(1)
+_BAND = _rng.integers(1, 1 << 63, (MOST_BANDS, ROWS + 1), dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -63,6 +70,33 @@ BITS = [f"bits{i}" for i in range(2 * COORDINATES // 64)]
 SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>, " + ", ".join(f"{b} long" for b in BITS)
 
 
+@dataclass(frozen=True)
+class Similarity:
+    """A link: ``numerator / denominator`` of the union at least is shared."""
+
+    numerator: int
+    denominator: int
+    bands: int
+    most_apart: int
+
+
+@functools.lru_cache
+def similarity(least: float) -> Similarity:
+    """The fewest bands and the narrowest signature check within the bounds. Two
+    bits of a coordinate differ with 3/4 (1 - least), so 14.4 of 128 on average
+    at 0.85 (deviation 3.6) and 19.2 at 0.8 (4.0)."""
+    share = Fraction(str(least))
+    if not 0 < share <= 1:
+        raise ValueError("the least similarity must be in (0, 1]")
+    bands = 1 if share == 1 else math.ceil(math.log(MISSED) / math.log1p(-(float(share) ** ROWS)))
+    if bands > MOST_BANDS:
+        raise ValueError(f"a similarity of {least} needs {bands} bands; there are {MOST_BANDS}")
+    p = 0.75 * (1 - float(share))
+    chance = [math.comb(COORDINATES, n) * p**n * (1 - p) ** (COORDINATES - n) for n in range(COORDINATES + 1)]
+    most = next(n for n in range(COORDINATES + 1) if math.fsum(chance[n + 1 :]) <= MISSED_APART)
+    return Similarity(share.numerator, share.denominator, bands, most)
+
+
 def _mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x *= np.uint64(0xFF51AFD7ED558CCD)
@@ -123,9 +157,9 @@ def signatures(sets: list[np.ndarray], k: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    rows = signature[:, : BANDS * ROWS].reshape(len(signature), BANDS, ROWS).astype(np.uint64)
-    return _mix64((rows * _BAND[:, :ROWS]).sum(2) + _BAND[:, ROWS]).view(np.int64)
+def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
+    rows = signature[:, : bands * ROWS].reshape(len(signature), bands, ROWS).astype(np.uint64)
+    return _mix64((rows * _BAND[:bands, :ROWS]).sum(2) + _BAND[:bands, ROWS]).view(np.int64)
 
 
 def two_bits(signature: np.ndarray) -> np.ndarray:
@@ -134,20 +168,20 @@ def two_bits(signature: np.ndarray) -> np.ndarray:
     return (part << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2).view(np.int64)
 
 
-def _near(a: str, b: str) -> Column:
+def _near(a: str, b: str, most_apart: int) -> Column:
     """Whether few enough coordinates of ``a``bits and ``b``bits differ."""
     apart = F.lit(0)
     for name in BITS:
         x = F.col(a + name).bitwiseXOR(F.col(b + name))
         apart = apart + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
-    return apart <= MOST_APART
+    return apart <= most_apart
 
 
 def _node(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, bands: int) -> DataFrame:
     """doc_id, n_shingles, node (128-bit hash of the set; null: empty) and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +191,9 @@ def sketch(docs: DataFrame) -> DataFrame:
             keys: list = [None] * len(sets)
             bits = np.zeros((len(sets), len(BITS)), np.int64)
             if full:
-                signed = signatures([sets[i] for i in full])
-                bits[full] = two_bits(signed)
-                for i, key in zip(full, band_keys(signed)):
+                signed = signatures([sets[i] for i in full], max(COORDINATES, bands * ROWS))
+                bits[full] = two_bits(signed[:, :COORDINATES])
+                for i, key in zip(full, band_keys(signed, bands)):
                     keys[i] = key
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)],
@@ -185,7 +219,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     return staged(keyed.select("node", "text").mapInArrow(run, "node binary, shingles binary"), "sets")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, link: Similarity) -> DataFrame:
     """The pairs (leader, member) whose whole sets share enough; staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +235,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if leader != held:
                     raise RuntimeError("a member without its leader")
                 shared = int((held_set[np.minimum(np.searchsorted(held_set, s), len(held_set) - 1)] == s).sum())
-                if DENOMINATOR * shared >= NUMERATOR * (len(s) + len(held_set) - shared):
+                if link.denominator * shared >= link.numerator * (len(s) + len(held_set) - shared):
                     out.append((leader, member))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
 
@@ -233,10 +267,12 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach) and
-    kept (the document that stays for its component), for every row."""
-    sketches = staged(sketch(docs), "sketches")
+def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links of ``least``
+    similarity reach) and kept (the document that stays for its component), for
+    every row."""
+    link = similarity(least)
+    sketches = staged(sketch(docs, link.bands), "sketches")
     named = sketches.filter("doc_id is not null and node is not null")
     first = F.min(F.struct("doc_id", "n_shingles", "bands", *BITS)).alias("x")
     classes = staged(named.groupBy("node").agg(first).select("node", F.col("x.doc_id").alias("doc_id"), F.col("x.n_shingles").alias("n"), *(F.col(f"x.{c}") for c in ("bands", *BITS))), "classes")
@@ -247,12 +283,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     central = rows.groupBy("node").agg(F.sum("size").alias("central"))
     rows = staged(rows.join(central, "node").select("key", "node", "n", *BITS, "central"), "central")
     leader = rows.groupBy("key").agg(F.max(F.struct("central", "node", "n", *BITS)).alias("x")).select("key", F.col("x.node").alias("leader"), F.col("x.n").alias("n_leader"), *(F.col(f"x.{b}").alias(f"to_{b}") for b in BITS))
-    fits = lambda a, b: DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
-    stars = rows.join(leader, "key").filter((F.col("node") != F.col("leader")) & fits(F.col("n"), F.col("n_leader")) & _near("", "to_"))
+    fits = lambda a, b: link.denominator * F.least(a, b) >= link.numerator * F.greatest(a, b)
+    stars = rows.join(leader, "key").filter((F.col("node") != F.col("leader")) & fits(F.col("n"), F.col("n_leader")) & _near("", "to_", link.most_apart))
     stars = staged(stars.select("leader", F.col("node").alias("member")).distinct(), "stars")
 
     sets = _sets_of(docs, classes.select("node", "doc_id"), stars)
-    links = _links(stars, sets)
+    links = _links(stars, sets, link)
     root = components(links)
 
     placed = rows.join(root, "node", "left").select("key", "node", "n", *BITS, F.coalesce("root", "node").alias("root"))
@@ -260,10 +296,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = staged(placed.join(open_, "key"), "open")
     a, b = (placed.select("key", *(F.col(c).alias(side + c) for c in ("node", "n", "root", *BITS))) for side in ("a_", "b_"))
     apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
-    rest = a.join(b, "key").filter(apart & fits(F.col("a_n"), F.col("b_n")) & _near("a_", "b_")).select(F.col("a_node").alias("leader"), F.col("b_node").alias("member")).distinct()
+    rest = a.join(b, "key").filter(apart & fits(F.col("a_n"), F.col("b_n")) & _near("a_", "b_", link.most_apart)).select(F.col("a_node").alias("leader"), F.col("b_node").alias("member")).distinct()
     seen = stars.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
     rest = staged(rest.join(seen, ["leader", "member"], "left_anti"), "rest")
-    more = _links(rest, _sets_of(docs, classes.select("node", "doc_id"), rest))
+    more = _links(rest, _sets_of(docs, classes.select("node", "doc_id"), rest), link)
     root = staged(components(links.unionByName(more)), "roots")
 
     smallest = classes.join(root, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -274,7 +310,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows, all columns as they are, that stay for their component."""
-    dropped = staged(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
+    dropped = staged(near_duplicates(docs, least).filter("not kept").select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
     return docs.join(small_or_plain(dropped), docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")

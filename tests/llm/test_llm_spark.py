@@ -121,6 +121,27 @@ def test_near_duplicates_equal_brute_force(spark, none):
     assert len(set(home.values())) < len(home)
 
 
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    import corpus_pipeline as p
+    from test_llm_units import brute_sets
+
+    r = random.Random(8)
+    rows = []
+    for i in range(40):
+        words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(200)]
+        for k, changes in enumerate((0, 4, 6)):  # 176 / 216 = 0.815 and 166 / 226 = 0.735 of the first
+            copy = list(words)
+            for j in range(changes):
+                copy[10 + 30 * j] = f"x{k}{j}"
+            rows.append((3 * i + k, " ".join(copy)))
+    a, b = (brute_sets(rows[k][1]) for k in (0, 1))
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id % 3 for x in p.near(spark, docs, "").collect()} == {0, 2}
+    assert p.near(spark, docs, "").count() == 80
+    assert all(x.kept for x in minhash.near_duplicates(docs, 0.85).collect())
+
+
 def test_near_duplicates_edges(docs, none):
     got = minhash.near_duplicates(docs).collect()
     assert len(got) == len(ROWS) and all(r.kept for r in got if r.doc_id in (None, 5, 6, 7, 8))

@@ -111,6 +111,17 @@ def test_signatures_estimate_similarity():
     assert abs((s[0] == s[1]).mean() - 920 / 1080) < 0.06
 
 
+def test_similarity_sets_bands_and_bits():
+    op6, near = minhash.similarity(0.85), minhash.similarity(0.8)
+    assert (op6.bands, op6.most_apart) == (20, 36)
+    for least, link in ((0.85, op6), (0.8, near)):
+        assert link.numerator / link.denominator == least
+        assert (1 - least**minhash.ROWS) ** link.bands <= minhash.MISSED
+    assert near.bands > op6.bands and near.most_apart > op6.most_apart
+    with pytest.raises(ValueError):
+        minhash.similarity(0.2)
+
+
 def test_language_spans():
     docs = {"en": "the cat and the house with the garden " * 20, "fr": "le chat et la maison avec les jardins " * 20}
     counts = np.zeros((2, langid.BUCKETS))
