@@ -207,3 +207,16 @@ def test_pipeline(spark):
     assert once.columns == start.columns and 1 not in {r.doc_id for r in once.collect()}
     assert p.near(spark, once, "").columns == start.columns
     assert [name for name, _ in p.STAGES] == ["language", "quality", "exact_dedup", "near_dedup", "packing"]
+
+
+def test_pipeline_packs_token_ids(spark):
+    import corpus_pipeline as p
+
+    texts = ["one two three", None, "four " * 1500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = p.packed(spark, docs, "").collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4")) == r.ids_crc32 for r in out)
+    tk = Tokenizer.from_file(BPE)
+    for doc, text in enumerate(texts):
+        ids = [i for r in sorted((r for r in out if r.doc_id == doc), key=lambda r: r.start) for i in r.ids]
+        assert ids == [*tk.encode(text or "", add_special_tokens=False).ids, 0]
