@@ -79,7 +79,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
 
 def _constant(scores: np.ndarray, first: np.ndarray, best: np.ndarray, switch: float) -> np.ndarray:
     """Texts whose best path certainly never switches: over no run of words does
-    another language gain more on the text's best one than one switch costs."""
+    another language gain more on the text's best one than half a switch costs.
+    A path that leaves the best language for m >= 2 runs switches m - 1 times at
+    least, as runs may adjoin, and so gains no more than it pays."""
     n = np.diff(first)
     text = np.repeat(np.arange(len(n)), n)
     gain = np.cumsum(scores - scores[np.arange(len(scores)), best[text]][:, None], axis=0, dtype=np.float64)
@@ -88,7 +90,7 @@ def _constant(scores: np.ndarray, first: np.ndarray, best: np.ndarray, switch: f
     lowered = before - (text * span)[:, None]  # each text starts a lower level, so its running minimum starts anew
     rise = gain - (text * span)[:, None] - np.minimum.accumulate(lowered, axis=0)
     out = np.ones(len(n), bool)
-    out[text[(rise > switch).any(1)]] = False
+    out[text[(rise > switch / 2).any(1)]] = False
     return out
 
 

@@ -154,6 +154,22 @@ def test_viterbi_equals_brute_force():
             assert mine == pytest.approx(total)
 
 
+def test_viterbi_takes_two_runs_at_the_price_of_one_switch():
+    scores = np.array([[0, -30, -8], [-30, 0, -8]], np.float32)
+    assert langid.viterbi(scores, np.array([0, 2]), 10.0).tolist() == [0, 1]
+    rng = np.random.default_rng(4)
+    n = np.full(400, 4)
+    first = np.concatenate([[0], np.cumsum(n)])
+    scores = rng.normal(0, 6, (int(n.sum()), 3)).astype(np.float32)
+    path = langid.viterbi(scores, first, 9.0)
+    for lo, hi in zip(first, first[1:]):
+        v = np.zeros(3)
+        for row in scores[lo:hi].astype(float):
+            v = row + np.maximum(v, v.max() - 9.0)
+        p = path[lo:hi]
+        assert scores[np.arange(lo, hi), p].astype(float).sum() - 9.0 * (np.diff(p) != 0).sum() == pytest.approx(v.max())
+
+
 def test_ordinal_model_orders_grades():
     rng = np.random.default_rng(0)
     y = np.repeat([0, 1, 2], 60)
