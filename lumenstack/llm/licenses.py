@@ -8,6 +8,16 @@ bigrams: 2 |A and B| / (|A| + |B|). Coefficient t bounds the sizes,
 without a comparison; units are first dropped by words and distinct words,
 which bound the number of bigrams from above and (less one) from below.
 
+Passages are what lines and whole texts can't hold: notices wrapped over lines
+of a longer text, or inside a longer line. A passage is a run of words, over
+line ends, of at most as many bigrams as the template's bounds allow; it begins
+and ends with bigrams of the template. Whatever reaches a template has one of its
+``anchors``, words that too many of its bigrams hold to be missed, so texts
+without any are left at once. Of overlapping passages of a template the
+closest counts, of several templates the one that shares most bigrams. A unit
+that reaches a template by itself stands for the passages inside it. Only texts
+with enough bigrams of a template anywhere are searched.
+
 There is no shuffle: templates are literals of a fixed size.
 
 Null or empty text: no match. Units of fewer than two words have no bigrams and
@@ -44,6 +54,17 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+
+#: Full texts (BSD-2-Clause up to its liability clause), looked for as passages only.
+FULL_TEXTS = {
+    "BSD-2-Clause-text": TEMPLATES["BSD-3-Clause"]
+    + ' 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "ISC-text": TEMPLATES["ISC"]
+    + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "MIT-text": TEMPLATES["MIT-grant"] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS,
+}
+
 
 def bigrams(text: str) -> set[str]:
     words = re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).split()
@@ -74,8 +95,9 @@ def _once(**columns: Column) -> list[Column]:
 
 
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, unit (line number from 1; 0: the whole text), license_id, dice
-    (6 digits) of every unit that reaches ``least`` with a template: its best one."""
+    """doc_id, unit (line number from 1; 0: the whole text; -n: a passage that
+    begins in line n), license_id, dice (6 digits) of every unit that reaches
+    ``least`` with a template: its best one."""
     known, names, low, high = _templates(templates or TEMPLATES, least)
     plain = F.regexp_replace(F.translate("text", UPPER, LOWER), "[^a-z0-9\n]+", " ")
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *_once(plain=plain))
@@ -91,7 +113,85 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     dice = F.transform(close, lambda t: F.struct((2.0 * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.col("size") + t["n"])).alias("dice"), t["rank"].alias("rank")))
     best = grams.filter(F.col("size").between(low, high)).select("doc_id", "unit", *_once(best=F.array_max(dice))).filter(F.col("best.dice") >= least)
     name = F.element_at(F.array(*map(F.lit, names)), F.lit(1) - F.col("best.rank"))
-    return best.select("doc_id", "unit", name.alias("license_id"), F.round("best.dice", 6).alias("dice"))
+    found = best.select("doc_id", "unit", name.alias("license_id"), F.round("best.dice", 6).alias("dice"))
+    return found.unionByName(_passages(texts, known, templates or TEMPLATES | FULL_TEXTS, least))
+
+
+def _pairs(words: str) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _dice(grams: Column, t: Column) -> Column:
+    return 2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(F.array_distinct(grams)) + t["n"])
+
+
+def _apart(passages: Column, kind: str) -> Column:
+    """Of overlapping passages the first one, in their order."""
+    clash = lambda a, b: (a["first"] <= b["last"]) & (b["first"] <= a["last"])
+    return F.aggregate(F.array_sort(passages), F.expr(f"cast(array() as array<{kind}>)"), lambda kept, c: F.when(F.exists(kept, lambda k: clash(k, c)), kept).otherwise(F.concat(kept, F.array(c))))
+
+
+_COMMON = frozenset("a all and any are as at be by for from in is it of on or that the this to with you".split())
+
+
+def anchors(grams: list[str], need: int) -> set[str]:
+    """Words without which fewer than ``need`` of ``grams`` remain; common words
+    only if others don't suffice."""
+    left, out = set(grams), set()
+    while len(left) >= need:
+        held: dict[str, int] = {}
+        for g in left:
+            for w in set(g.split()):
+                held[w] = held.get(w, 0) + 1
+        out.add(max(sorted(held), key=lambda w: (w not in _COMMON, held[w])))
+        left = {g for g in left if out.isdisjoint(g.split())}
+    return out
+
+
+def _passages(texts: DataFrame, lines_known: Column, templates: dict[str, str], least: float) -> DataFrame:
+    names = sorted(templates)
+    rows, every, rare = [], set(), set()
+    for rank, name in enumerate(names):
+        grams = sorted(bigrams(templates[name]))
+        every.update(grams)
+        lo, hi = _bounds(len(grams), least)
+        need = next(k for k in range(1, len(grams) + 1) if 2 * k / (max(k, lo) + len(grams)) >= least)
+        rare |= anchors(grams, need)
+        rows.append(F.struct(F.lit(rank).alias("rank"), F.lit(hi).alias("hi"), F.lit(need).alias("need"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")))
+    known = F.array(*rows)
+
+    split = texts.select("doc_id", "plain", *_once(words=F.split(F.trim(F.regexp_replace("plain", "[ \n]+", " ")), " ")))
+    split = split.filter(F.exists("words", lambda w: w.isin(*sorted(rare))))
+    known_grams = F.filter(_pairs("words"), lambda g: g.isin(*sorted(every)))
+    some = split.select("doc_id", "plain", "words", *_once(seen=F.array_distinct(known_grams))).filter(F.size("seen") > 1)
+    near = some.select("doc_id", "plain", "words", *_once(near=F.filter(known, lambda t: F.size(F.array_intersect(F.col("seen"), t["grams"])) >= t["need"]))).filter(F.size("near") > 0)
+    line_of = F.flatten(F.transform(F.split("plain", "\n"), lambda line, i: F.transform(F.filter(F.split(line, " "), lambda w: w != ""), lambda w: i + 1)))
+    near = near.select("doc_id", "near", *_once(grams=_pairs("words"), line_of=line_of))
+
+    one = "struct<off:double,len:int,first:int,last:int,shared:int>"
+    many = "struct<fewer:int,off:double,rank:int,first:int,last:int>"
+
+    def window(t: Column, first: Column, last: Column) -> Column:
+        part = F.slice("grams", first + 1, last - first + 1)
+        shared = F.size(F.array_intersect(part, t["grams"]))
+        return F.struct((-_dice(part, t)).alias("off"), (last - first).alias("len"), first.alias("first"), last.alias("last"), shared.alias("shared"))
+
+    def of(t: Column) -> Column:
+        places = F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
+        # wrapped, so that the places are found once
+        windows = F.transform(F.array(places), lambda at: F.flatten(F.transform(at, lambda first, i: F.transform(F.filter(F.slice(at, i + 1, t["hi"]), lambda last, j: (j + 1 >= t["need"]) & (last - first < t["hi"])), lambda last: window(t, first, last)))))
+        best = _apart(F.filter(F.flatten(windows), lambda w: w["off"] <= -least), one)
+        return F.transform(best, lambda w: F.struct((-w["shared"]).alias("fewer"), w["off"].alias("off"), t["rank"].alias("rank"), w["first"].alias("first"), w["last"].alias("last")))
+
+    line = lambda i: F.element_at("line_of", i + 1)
+    reaches = lambda grams: F.exists(lines_known, lambda t: F.when(F.size(grams) > 0, _dice(grams, t) >= least).otherwise(False))
+    found = near.select("doc_id", "grams", "line_of", *_once(passages=_apart(F.flatten(F.transform("near", of)), many))).filter((F.size("passages") > 0) & ~reaches(F.col("grams")))
+    found = found.select("doc_id", "grams", "line_of", F.explode("passages").alias("p")).withColumns({"from": line(F.col("p.first")), "to": line(F.col("p.last") + 1)})
+    own = F.filter("grams", lambda g, i: (line(i) == F.col("from")) & (line(i + 1) == F.col("from")))
+    found = found.filter((F.col("from") != F.col("to")) | ~reaches(own))
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("p.rank") + 1)
+    return found.select("doc_id", (-F.col("from")).cast("int").alias("unit"), name.alias("license_id"), F.round(-F.col("p.off"), 6).alias("dice"))
 
 
 def sql(templates: dict[str, str] | None = None, least: float = LEAST) -> str:

@@ -154,6 +154,24 @@ def test_licenses(docs, none):
     assert licenses.matches(none).count() == 0
 
 
+def test_licenses_find_wrapped_and_embedded_notices(spark):
+    import textwrap
+
+    prose = "\n".join(f"some other words in line {i} of this file" for i in range(30))
+    wrap = lambda name: "\n".join(textwrap.wrap({**licenses.TEMPLATES, **licenses.FULL_TEXTS}[name], 78, break_long_words=False))
+    names = ["Apache-2.0-header", "BSD-3-Clause", "GPL-3.0-header", "ISC", "MIT-grant", "MPL-2.0", "MIT-text", "ISC-text", "BSD-2-Clause-text"]
+    rows = [(i, f"{prose}\n{wrap(n)}\n\n{prose}\n") for i, n in enumerate(names)]
+    rows += [(20, "This project is released under the MIT License."), (21, prose), (22, f"{prose}\n{licenses.TEMPLATES['ISC']}\n{prose}"), (23, f"{wrap('ISC')}\n{prose}\n{wrap('ISC')}"), (24, "Copyright (c) 2020 A B\n\n" + wrap("MIT-text"))]
+    got: dict = {}
+    for r in licenses.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.unit, r.license_id, r.dice))
+    for i, n in enumerate(names):
+        assert (-31, n, 1.0) in got[i]
+    assert got[20] == [(-1, "MIT", 1.0)] and 21 not in got and got[22] == [(31, "ISC", 1.0)]
+    assert [x[1] for x in got[23] if x[0] < 0] == ["ISC", "ISC"]
+    assert (-3, "MIT-text", 1.0) in got[24]
+
+
 def test_pieces(docs, none):
     got = pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
     assert all(r.round_trip for r in got.collect())

@@ -214,3 +214,11 @@ def test_licence_bounds_lose_nothing():
         for m in range(1, 120):
             if 2 * min(n, m) / (n + m) >= licenses.LEAST:
                 assert lo <= m <= hi
+
+
+def test_licence_anchors_lose_nothing():
+    for text in (licenses.TEMPLATES | licenses.FULL_TEXTS).values():
+        grams = sorted(licenses.bigrams(text))
+        for need in range(1, len(grams) + 1):
+            words = licenses.anchors(grams, need)
+            assert sum(words.isdisjoint(g.split()) for g in grams) < need
