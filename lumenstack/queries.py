@@ -563,8 +563,8 @@ def merge_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: nations as a gazetteer; the confidence of a customer's place is its key modulo 100."""
     nations = _t(spark, sf_dir, "nation")
-    gazetteer = {"countries": [{"q": f"Q{r.n_nationkey}", "en": r.n_name, "lat": r.n_nationkey * 7 % 60, "lon": r.n_nationkey * 13 % 90} for r in nations.limit(1000).collect()]}  # a gazetteer of countries
-    rows = _t(spark, sf_dir, "customer").join(F.broadcast(nations.limit(1000)), F.col("c_nationkey") == F.col("n_nationkey"))
+    gazetteer = {"countries": [{"q": f"Q{r.n_nationkey}", "en": r.n_name, "lat": r.n_nationkey * 7 % 60, "lon": r.n_nationkey * 13 % 90} for r in nations.collect()]}  # a gazetteer of countries
+    rows = _t(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     place = F.to_json(F.struct(F.lower("n_name").alias("country"), (F.col("c_custkey") % 100).alias("confidence")))
     found = places.resolve_places(rows.select(F.col("c_custkey").alias("asset_id"), place.alias("location_json")), gazetteer)
     return found.select("asset_id", "latitude", "longitude", "precision_level", "place_id")

@@ -30,3 +30,10 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_places_of_every_nation(spark, tmp_path):
+    spark.range(1200).selectExpr("cast(id as int) n_nationkey", "concat('NATION ', id) n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(1200).selectExpr("id * 100 + 80 c_custkey", "cast(id as int) c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = entry.queries()["resolve_places"](spark, str(tmp_path)).collect()
+    assert {(r.asset_id, r.place_id) for r in got} == {(i * 100 + 80, f"wd:Q{i}") for i in range(1200)}
