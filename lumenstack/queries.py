@@ -590,6 +590,13 @@ def job_queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.queue_order(_jobs(spark, sf_dir).filter(F.col("status") == "queued")).select("job_id", "priority").limit(50)
 
 
+@_query(f"""SELECT job_id, status, priority::INTEGER AS priority FROM {_JOBS}
+    WHERE status = 'queued' OR (status = 'running' AND ts >= TIMESTAMP '2024-01-20' - INTERVAL 10 MINUTE) ORDER BY priority DESC, ts, job_id""")
+def active_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole active listing; ``job_queue_order`` is its first queued rows."""
+    return jobs.active(_jobs(spark, sf_dir), AS_OF).select("job_id", "status", "priority")
+
+
 @_query(f"SELECT job_id, job_type FROM {_JOBS} ORDER BY ts DESC, job_id DESC LIMIT 20")
 def latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest(_jobs(spark, sf_dir), limit=20).select("job_id", "job_type")

@@ -37,3 +37,8 @@ def test_places_of_every_nation(spark, tmp_path):
     spark.range(1200).selectExpr("id * 100 + 80 c_custkey", "cast(id as int) c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
     got = entry.queries()["resolve_places"](spark, str(tmp_path)).collect()
     assert {(r.asset_id, r.place_id) for r in got} == {(i * 100 + 80, f"wd:Q{i}") for i in range(1200)}
+
+
+def test_active_listing_is_whole(spark):
+    jobs = entry.queries()["active_jobs"](spark, DIR).collect()
+    assert len(jobs) > 50 and [r.priority for r in jobs] == sorted((r.priority for r in jobs), reverse=True)
