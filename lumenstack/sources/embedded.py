@@ -184,11 +184,12 @@ def embedded(data: bytes, profile: str = "full") -> dict[str, Any]:
 
 def extract(files: DataFrame, profile: str = "full", mode: str = "head-tail") -> DataFrame:
     """A row for each file of a listing with content: names, fingerprint, fields."""
-    named = files.select("path", "modified_time", "file_size", stem_of(F.col("path")).alias("stem"), extension_of(F.col("path")).alias("extension"), fingerprint(F.col("content"), F.col("file_size"), mode).alias("fingerprint"), "content")
+    named = files.select("path", "modified_time", "file_size", stem_of(F.col("path")).alias("stem"), extension_of(F.col("path")).alias("extension"), fingerprint(F.col("content"), F.col("file_size"), mode).alias("fingerprint"), F.substring("content", 1, SAMPLES[-1]).alias("content"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            fields = pd.DataFrame([embedded(bytes(c), profile) if c is not None else {} for c in part["content"]], columns=NAMES, dtype=object)
+            found = [embedded(bytes(c), profile) if c is not None else {} for c in part["content"]]
+            fields = pd.DataFrame([[f.get(n) for n in NAMES] for f in found], columns=NAMES, dtype=object)  # an absent field is None, not NaN
             yield pd.concat([part.drop(columns="content").reset_index(drop=True), fields], axis=1)
 
     out = named.mapInPandas(run, f"path string, modified_time timestamp, file_size long, stem string, extension string, fingerprint string, {FIELDS}")
