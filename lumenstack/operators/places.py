@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -25,31 +26,39 @@ LEAST_LINKS, RATIO = 30, 2.0
 NEAR_LOCALITY, NEAR_ADMIN1 = 1.5, 6.0
 #: Entries that may be broadcast.
 LARGEST = 2_000_000
+_BRACKETED = re.compile(r"\([^)]*\)")
 RESOLVED = "latitude double, longitude double, min_latitude double, max_latitude double, min_longitude double, max_longitude double, precision_level string, place_id string, matched_label string, country_code string, confidence double"
 
 
 def candidate_names(raw: str) -> list[str]:
     """Readings of a messy name, most specific first, each once."""
-    out: dict[str, str] = {}
-
-    def offer(name: str) -> None:
-        name = name.strip().strip(".")
-        if name:
-            out.setdefault(name.lower(), name)
-
-    for part in re.sub(r"\([^)]*\)", "", raw).split("/"):
-        segments = [s.strip() for s in part.split(",") if s.strip()]
-        if not segments:
-            continue
-        offer(part)
-        words = segments[0].split()
-        offer(segments[0])
-        while len(words) > 1 and words[-1].lower() in SUFFIXES:
-            words.pop()
-            offer(" ".join(words))
-        for s in segments[1:]:
-            offer(s)
-    return list(out.values())
+    readings: list[str] = []
+    for alternative in _BRACKETED.sub("", raw).split("/"):
+        parts = [p for p in map(str.strip, alternative.split(",")) if p]
+        if parts:
+            readings += [alternative, parts[0], *_shortened(parts[0]), *parts[1:]]
+    distinct: dict[str, str] = {}
+    for name in (r.strip().strip(".") for r in readings):
+        distinct.setdefault(name.lower(), name)
+    distinct.pop("", None)
+    return list(distinct.values())
+
+
+def _shortened(name: str) -> Iterator[str]:
+    """``name`` with one, two, ... scenery words less at its end."""
+    words = name.split()
+    for last in range(len(words) - 1, 0, -1):
+        if words[last].lower() not in SUFFIXES:
+            return
+        yield " ".join(words[:last])
+
+
+_built: dict[str, Gazetteer] = {}
+
+
+def check_size(tiers: dict[str, list[dict[str, Any]]]) -> None:
+    if sum(map(len, tiers.values())) > LARGEST:
+        raise ValueError("the gazetteer is too large to broadcast")
 
 
 class Gazetteer:
@@ -57,8 +66,7 @@ class Gazetteer:
     q, en, zh, lat, lon, and country and links or (countries) iso, aliases, parent, parts."""
 
     def __init__(self, tiers: dict[str, list[dict[str, Any]]]):
-        if sum(map(len, tiers.values())) > LARGEST:
-            raise ValueError("the gazetteer is too large to broadcast")
+        check_size(tiers)
         self.by_q = {c["q"]: c for c in tiers.get("countries", [])}
         self.countries: dict[str, dict] = {}
         for c in tiers.get("countries", []):
@@ -121,15 +129,13 @@ class Gazetteer:
         return shown(country, "country") if country else None
 
     def _point(self, item: dict, level: str, confidence: float | None) -> dict[str, Any]:
-        lat, lon, half = float(item["lat"]), float(item["lon"]), HALF_SIZES[level]
-        home = self.by_q.get(item.get("country"))
-        return {
-            "latitude": lat, "longitude": lon,
-            "min_latitude": max(-90.0, lat - half), "max_latitude": min(90.0, lat + half),
-            "min_longitude": max(-180.0, lon - half), "max_longitude": min(180.0, lon + half),
-            "precision_level": level, "place_id": f"wd:{item['q']}", "matched_label": item.get("en") or item.get("zh") or item["q"],
-            "country_code": home.get("iso") if home else item.get("iso"), "confidence": confidence,
-        }
+        centre = {"latitude": (float(item["lat"]), 90.0), "longitude": (float(item["lon"]), 180.0)}
+        out: dict[str, Any] = {axis: at for axis, (at, _) in centre.items()}
+        for axis, (at, most) in centre.items():
+            out |= {f"min_{axis}": max(-most, at - HALF_SIZES[level]), f"max_{axis}": min(most, at + HALF_SIZES[level])}
+        label = next((item[k] for k in ("en", "zh") if item.get(k)), item["q"])
+        iso = self.by_q.get(item.get("country"), item).get("iso")
+        return out | {"precision_level": level, "place_id": f"wd:{item['q']}", "matched_label": label, "country_code": iso, "confidence": confidence}
 
 
 def _apart(item: dict, other: dict) -> float:
@@ -140,10 +146,15 @@ def _apart(item: dict, other: dict) -> float:
 def resolve_places(rows: DataFrame, gazetteer: dict[str, list[dict]], key: str = "asset_id", place: str = "location_json") -> DataFrame:
     """key and the resolved point of each row whose place is found. Equal places
     are resolved once; bad JSON resolves to nothing."""
-    shared = rows.sparkSession.sparkContext.broadcast(gazetteer)  # at most LARGEST entries, see Gazetteer
+    check_size(gazetteer)
+    shared = rows.sparkSession.sparkContext.broadcast(gazetteer)  # at most LARGEST entries
+    version = uuid.uuid4().hex
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Gazetteer(shared.value)
+        if version not in _built:  # one gazetteer at a time in a worker
+            _built.clear()
+            _built[version] = Gazetteer(shared.value)
+        known = _built[version]
         for part in parts:
             out = []
             for text in part["place"]:
