@@ -17,8 +17,9 @@ def _gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def stem_similarity(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp ratio of lower-cased names. There is no built-in for
-    it; equal names don't go through Python."""
-    return F.when(F.lower(a) == F.lower(b), 1.0).otherwise(F.pandas_udf(_gestalt, "double")(a, b))
+    it; of equal names nothing is sent to Python but nulls."""
+    same = F.lower(a) == F.lower(b)
+    return F.when(same, 1.0).otherwise(F.pandas_udf(_gestalt, "double")(F.when(~same, a), F.when(~same, b)))
 
 
 def seconds_apart(a: Column, b: Column) -> Column:

@@ -449,7 +449,8 @@ def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_DECIDED} SELECT status, count(*) AS count FROM r GROUP BY 1")
 def match_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.status_counts(matching.resolve(*_files(spark, sf_dir)))
+    images, raws = matching.prepared(*_files(spark, sf_dir))
+    return matching.status_counts(matching.decided_status(images, matching.scored(images, raws, matching.recall(images, raws))))
 
 
 @_query(f"{_DECIDED} SELECT image_id, raw_id, score FROM r WHERE raw_id IS NOT NULL")

@@ -5,6 +5,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from lumenstack.operators import browse, facets, generic, jobs, library, locations, matching, people, places, reports, vectors, versions
@@ -65,6 +66,44 @@ def test_nearest_times_prefer_own_camera(spark):
     assert sorted(got) == ["r0", "r1", "r2"]
 
 
+def test_nearest_times_equal_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    at = lambda: T0 + dt.timedelta(seconds=r.choice([0, 0, 1, 59, 60, 61, 86_399, 86_400, r.randrange(400_000)]))
+    images = [(f"i{n}", at(), r.choice(["c", "d", None, "none"])) for n in range(60)]
+    raws = [(f"r{n:03}", at(), r.choice(["c", "d", "e", None])) for n in range(150)]
+    i = spark.createDataFrame(images, "image_id string, capture_time timestamp, camera_model string")
+    w = spark.createDataFrame(raws, "raw_id string, r_time timestamp, r_camera string")
+    got = {}
+    for x in matching.nearest_times(i, w, 5).collect():
+        got.setdefault(x.image_id, []).append(x.raw_id)
+    for n, t, camera in images:
+        order = sorted(raws, key=lambda x: (camera is None or x[2] != camera, abs(x[1] - t), x[0]))
+        assert sorted(got[n]) == sorted(x[0] for x in order[:5])
+
+
+def test_recall_stages(spark):
+    day = lambda d: T0 + dt.timedelta(days=d)
+    raws = [{"stem": "sunset_0001x", "capture_time": day(0), "camera_model": "c"}, {"stem": "sunset_0001y", "camera_model": "d"}, {"stem": "forest", "capture_time": day(9), "camera_model": "c"}, {"stem": "forest", "capture_time": day(5), "camera_model": "e"}]
+    r = files(spark, "r", *raws).withColumn("cached_at", F.when(F.col("raw_id") == "r3", F.lit(day(3))).otherwise(F.lit(day(1))))
+    images = [{"stem": "forest"}, {"stem": "sunset.0001"}, {"stem": "IMG_7777"}, {"stem": "a", "capture_time": day(2), "camera_model": "c"}, {"stem": "b", "capture_time": day(2), "camera_model": "zz"}, {"stem": "c", "camera_model": "d"}, {"stem": "d"}]
+    i, r = matching.prepared(files(spark, "i", *images), r)
+
+    def found(k):
+        out = {}
+        for x in matching.recall(i, r, k).orderBy("image_id", "nth").collect():
+            out.setdefault(x.image_id, (x.stage, []))[1].append(x.raw_id)
+        return out
+
+    assert found(200) == {"i0": (1, ["r3", "r2"]), "i1": (2, ["r0", "r1"]), "i3": (3, ["r0", "r2"]), "i4": (3, ["r0", "r3", "r2"]), "i5": (4, ["r1"]), "i6": (5, ["r3", "r0", "r1", "r2"])}
+    assert found(1)["i0"] == (1, ["r3"]) and found(1)["i6"] == (5, ["r3"])
+    assert matching.recall(i.filter("false"), r).count() == 0 and {x[0] for x in matching.recall(i, r.filter("false")).collect()} == set()
+    pairs = matching.paired(i, r, matching.recall(i, r)).withColumn("similarity", F.lit(0.1))
+    why = {(x.image_id, x.raw_id): x.why for x in pairs.select("image_id", "raw_id", matching.vetoes().alias("why")).collect()}
+    assert why["i3", "r2"] == ["filename_family_conflict", "capture_time_window_exceeded"] and why["i4", "r3"] == ["filename_family_conflict", "camera_model_conflict", "capture_time_window_exceeded"]
+
+
 def _catalog(spark):
     t = empty_tables(spark)
     meta = '{"camera_model": "R6", "iso": 200, "width": %d, "height": 400, "capture_time": "2026-05-0%d 10:00:00"}'
@@ -303,6 +342,54 @@ def test_every_verb_is_accounted_for():
     assert len(verbs.VERBS) + len(verbs.OUT_OF_SCOPE) == 86
 
 
+def test_extract_by_profile(spark, tmp_path):
+    (tmp_path / "a.cr2").write_bytes(_tiff())
+    (tmp_path / "b.jpg").write_bytes(b"\xff\xd8\xff\xe1\0\0Exif\0\0" + _tiff() + b"\xff\xc0\0\x0b\x08" + struct.pack(">HH", 40, 60) + b"\x01\x01\x11\0\xff\xd9")
+    (tmp_path / "c.jpg").write_bytes(b"no picture")
+    files = listing.list_files(spark, str(tmp_path)).withColumn("content", F.col("content"))
+    full = {r.path.rsplit("/", 1)[1]: r for r in embedded.extract(files).collect()}
+    assert (full["b.jpg"].camera_model, full["b.jpg"].iso, full["b.jpg"].lens_specification) == ("R6m2", 200, None)
+    assert full["a.cr2"].capture_time == T0 and full["c.jpg"].camera_model is None and full["c.jpg"].width is None
+    lean = {r.path.rsplit("/", 1)[1]: r for r in embedded.extract(files, "matcher", "head-only").collect()}
+    assert lean["a.cr2"].camera_model == "R6m2" and lean["a.cr2"].iso is None and lean["b.jpg"].width is None
+    assert full["a.cr2"].fingerprint != lean["a.cr2"].fingerprint
+    known = embedded.extract(files.filter(F.col("path").endswith("a.cr2")))
+    assert sorted(r.stem for r in embedded.scan(files, known).collect()) == ["b", "c"]
+    assert embedded.extract(files.filter("false")).count() == 0
+
+
+def test_catalog_survives_a_dying_writer_and_finds_concurrent_ones(spark, tmp_path, monkeypatch):
+    from lumenstack.sources import store
+
+    catalog = Catalog(spark, str(tmp_path / "c")).ensure()
+    assert Catalog(spark, str(tmp_path / "c")).ensure().table("jobs").count() == 0
+    one = lambda k: rows(spark, "collections", {"collection_id": k, "name": k, "kind": "manual"})
+    catalog.write({"collections": one("a"), "deleted_files": rows(spark, "deleted_files", {"path": "/p"})})
+
+    def dies(self, state, number):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(store.Catalog, "_publish", dies)
+        with pytest.raises(OSError, match="gone"):
+            catalog.write({"collections": one("b")})
+    assert [r.collection_id for r in catalog.table("collections").collect()] == ["a"]
+    catalog.write({"collections": one("c")})
+    assert catalog.table("deleted_files").count() == 1 and catalog.table("collections").first().collection_id == "c"
+    number = catalog._latest()
+    with monkeypatch.context() as m:
+        m.setattr(store.Catalog, "_latest", lambda self: number - 1)
+        with pytest.raises(store.ConcurrentChange):
+            catalog.write({"collections": one("d")})
+    assert catalog.table("collections").first().collection_id == "c"
+
+
+def test_gazetteer_size_is_checked_before_it_is_sent(spark, monkeypatch):
+    monkeypatch.setattr(places, "LARGEST", 3)
+    with pytest.raises(ValueError, match="too large"):
+        places.resolve_places(spark.createDataFrame([], "asset_id string, location_json string"), GAZETTEER)
+
+
 def test_watch(spark, tmp_path):
     from lumenstack.streaming import watch
 
@@ -325,3 +412,44 @@ def test_watch(spark, tmp_path):
     (folder / "b.jpg").write_bytes(jpeg)
     run()
     assert sorted(p.rsplit("/", 1)[1] for p in seen) == ["a.jpg", "b.jpg"]
+
+
+def test_watch_reports_completed_and_overwritten_files(spark, tmp_path):
+    import os
+
+    from lumenstack.streaming import watch
+
+    jpeg = b"\xff\xd8\xff\xd9"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    seen: list[list[str]] = []
+
+    def run(handle=None):
+        note = lambda df, _: seen.append(sorted(r.path.rsplit("/", 1)[1] for r in df.collect()))
+        q = watch.watch(watch.listing_stream(spark, str(folder)), handle or note, str(tmp_path / "ck"), None)
+        try:
+            assert q.awaitTermination(60)
+        finally:
+            q.stop()
+
+    run()
+    (folder / "a.jpg").write_bytes(jpeg)
+    (folder / "cut.jpg").write_bytes(jpeg[:3])
+    run()
+    (folder / "cut.jpg").write_bytes(jpeg)
+    run()
+    (folder / "a.jpg").write_bytes(jpeg + jpeg)
+    run()
+    os.utime(folder / "cut.jpg", (1_000_000_000, 1_000_000_000))
+    (folder / "a.jpg").unlink()
+
+    def fails(df, _):
+        raise RuntimeError("handler")
+
+    with pytest.raises(StreamingQueryException):
+        run(fails)
+    run()
+    run()
+    (folder / "a.jpg").write_bytes(jpeg + jpeg)
+    run()
+    assert [x for x in seen if x] == [["a.jpg"], ["cut.jpg"], ["a.jpg"], ["cut.jpg"], ["a.jpg"]]
