@@ -1,16 +1,13 @@
 """Similarity edges, constrained clusters and centroids of embeddings.
 
-Vectors of one model space are compared in blocks: a block of rows against the
-blocks with smaller indexes, as a matrix product in an Arrow worker. Blocks are
-paired by an equi-join on block numbers, so a task holds two blocks, and the
-neighbour limit is applied after all blocks of a row are seen.
+Vectors of one model space are compared in a grid of groups, block by block, as
+matrix products in an Arrow worker. The neighbour limit is applied after all
+cells of a row are seen.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,47 +16,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.faces import dot, unit
+from ..sources.scratch import staged
 from .generic import top_per_group
 
 THRESHOLD, SLACK, LOW_MARGIN, NEIGHBOURS = 0.48, 0.1, 0.06, 64
 BLOCK = 512
+#: Faces that a task holds at a time; 64 MB at 512 dimensions.
+GROUP = 16_384
 SPACE = ["model_id", "model_version"]
 
 
-def edges(faces: DataFrame, threshold: float = THRESHOLD, low_margin: float = LOW_MARGIN, neighbours: int | None = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
+def edges(faces: DataFrame, threshold: float = THRESHOLD, low_margin: float = LOW_MARGIN, neighbours: int | None = NEIGHBOURS, block: int = BLOCK, group: int = GROUP, cut_first: bool = True) -> DataFrame:
     """model_id, model_version, a, b, similarity: pairs a < b of one space at or
-    above the threshold (more if either is of low quality), not of one asset,
-    and of each b the strongest ``neighbours`` (ties: smaller a). ``faces``:
-    the space, face_id, asset_id, quality, embedding."""
-    n_blocks = max(1, -(-faces.count() // block))
+    above the threshold (more if either is of low quality), of each b the strongest
+    ``neighbours`` (ties: smaller a), not of one asset. Pairs of one asset count among
+    the strongest unless ``cut_first`` is off. ``faces``: the space, face_id,
+    asset_id, quality, embedding.
+
+    Faces fall into groups by a hash, and each pair of groups is a cell of a
+    triangular grid. A face goes to as many cells as there are groups, which is
+    the number of faces over ``group``, or its root where that is less. A cell
+    holds one group while the other's rows pass in batches."""
+    n_groups = _groups(faces.count(), block, group)
     rows = faces.select(*SPACE, "face_id", "asset_id", (F.col("quality") == "low").alias("low"), F.transform("embedding", lambda x: x.cast("float")).alias("v"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("face_id"), F.lit(n_blocks)).cast("int"))
-    packed = rows.groupBy(*SPACE, "block").agg(F.collect_list(F.struct("face_id", "asset_id", "low", "v")).alias("rows"))
-    # block pairs meet by their own numbers: block i is sent to the pairs (i, j) and (j, i) that it is in
-    sent = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select(*SPACE, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), F.col("block").alias("own"), "rows")
-    left = sent.filter(F.col("first")).select(*SPACE, "i", "j", F.col("rows").alias("left"))
-    right = sent.filter(F.col("own") == F.col("j")).select(*SPACE, "i", "j", F.col("rows").alias("right"))
-    pairs = left.filter("i <= j").join(right, [*SPACE, "i", "j"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("face_id"), F.lit(n_groups)).cast("int"))
+    # group g is held (side 0) in the cells (g, g..) and passes (side 1) in the cells (..g, g)
+    held = rows.withColumns({"i": F.col("own"), "j": F.explode(F.sequence(F.col("own"), F.lit(n_groups - 1))), "side": F.lit(0)})
+    passing = rows.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("own"))), "j": F.col("own"), "side": F.lit(1)})
+    shuffles = int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = [*SPACE, "i", "j"]
+    sent = held.unionByName(passing).drop("own").repartition(max(shuffles, 8 * n_groups), *cell).sortWithinPartitions(*cell, "side")
+    found = sent.select(*cell, "side", "face_id", "asset_id", "low", "v").mapInPandas(_comparer(threshold, low_margin, block), _edge_schema(faces))
+    if not neighbours:
+        return found.filter(~F.col("same_asset")).drop("same_asset")
+    found = found if cut_first else found.filter(~F.col("same_asset"))
+    cut_ = top_per_group(found, [*SPACE, "b"], [F.desc("similarity"), F.col("a")], neighbours, "__n")
+    return cut_.filter(~F.col("same_asset")).drop("__n", "same_asset")
+
+
+def _groups(n: int, block: int, group: int) -> int:
+    """Groups of at least a block and at most ``group`` faces (on average), and
+    between these as many as the root of the number of blocks."""
+    blocks = max(1, -(-n // block))
+    return max(-(-n // group), math.isqrt(blocks - 1) + 1, 1)
+
+
+def _edge_schema(faces: DataFrame) -> str:
+    kind = dict(faces.dtypes)
+    return f"model_id {kind['model_id']}, model_version {kind['model_version']}, a {kind['face_id']}, b {kind['face_id']}, similarity double, same_asset boolean"
+
+
+def _comparer(threshold: float, low_margin: float, block: int):
+    """Compares each cell's held rows with those that pass, ``block`` by ``block``."""
+
+    def blocks(part: pd.DataFrame) -> Iterator[tuple]:
+        for at in range(0, len(part), block):
+            p = part.iloc[at : at + block]
+            yield p["face_id"].to_numpy(), p["asset_id"].to_numpy(), p["low"].to_numpy(bool), _unit(p["v"])
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held = None, []
         for part in parts:
-            for row in part.itertuples(index=False):
-                a, b = (pd.DataFrame.from_records([r if isinstance(r, dict) else r.asDict() for r in x]) for x in (row.left, row.right))
-                va, vb = _unit(a["v"]), _unit(b["v"])
-                need = threshold + low_margin * (a["low"].to_numpy(bool)[:, None] | b["low"].to_numpy(bool)[None, :])
-                s = va @ vb.T
-                ok = (s >= need) & (a["asset_id"].to_numpy()[:, None] != b["asset_id"].to_numpy()[None, :])
-                if row.i == row.j:
-                    ok &= a["face_id"].to_numpy()[:, None] < b["face_id"].to_numpy()[None, :]
-                p, q = np.nonzero(ok)
-                fa, fb = a["face_id"].to_numpy()[p], b["face_id"].to_numpy()[q]
-                swap = fa > fb
-                yield pd.DataFrame({"model_id": row.model_id, "model_version": row.model_version, "a": np.where(swap, fb, fa), "b": np.where(swap, fa, fb), "similarity": s[p, q].astype(float)})
-
-    kind = dict(faces.dtypes)
-    schema = f"model_id {kind['model_id']}, model_version {kind['model_version']}, a {kind['face_id']}, b {kind['face_id']}, similarity double"
-    found = pairs.mapInPandas(compare, schema)
-    return top_per_group(found, [*SPACE, "b"], [F.desc("similarity"), F.col("a")], neighbours, "__n").drop("__n") if neighbours else found
+            for key, rows in part.groupby([*SPACE, "i", "j", "side"], sort=False, dropna=False):
+                if key[:4] != cell:
+                    cell, held = key[:4], []
+                if key[4] == 0:
+                    held += blocks(rows)
+                    continue
+                for fb, ab, lb, vb in blocks(rows):
+                    for fa, aa, la, va in held:
+                        s = va @ vb.T
+                        ok = s >= threshold + low_margin * (la[:, None] | lb[None, :])
+                        if key[2] == key[3]:
+                            ok &= fa[:, None] < fb[None, :]
+                        p, q = np.nonzero(ok)
+                        a, b = fa[p], fb[q]
+                        swap = a > b
+                        yield pd.DataFrame({"model_id": key[0], "model_version": key[1], "a": np.where(swap, b, a), "b": np.where(swap, a, b), "similarity": s[p, q].astype(float), "same_asset": aa[p] == ab[q]})
+
+    return compare
 
 
 def _unit(v: pd.Series) -> np.ndarray:
@@ -67,43 +102,20 @@ def _unit(v: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), np.finfo(np.float32).eps)
 
 
-def edges_sql(faces: DataFrame, threshold: float) -> DataFrame:
-    """Edges of a small space in built-in functions (no limit, one quality)."""
-    v = faces.select("face_id", unit(F.col("embedding")).alias("v"))
-    a, b = v.select(F.col("face_id").alias("a"), F.col("v").alias("va")), v.select(F.col("face_id").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, F.col("a") < F.col("b")).withColumn("similarity", dot(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
-
-
-def components(edge_rows: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edge_rows: DataFrame) -> DataFrame:
     """face_id and the smallest id of its component, by label spreading with
-    pointer jumping; stops when nothing changes."""
+    pointer jumping, until nothing changes."""
     both = edge_rows.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edge_rows.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    both = cut(both)
+    both = staged(both, "both_ways")
     label = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("face_id"), F.least("u", "m").alias("root"))
-    for _ in range(rounds):
+    while True:
         seen = both.join(label.select(F.col("face_id").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("m"))
-        new = label.join(seen.withColumnRenamed("u", "face_id"), "face_id").select("face_id", F.least("root", "m").alias("root"))
+        new = label.join(seen.withColumnRenamed("u", "face_id"), "face_id").select("face_id", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         jump = new.select(F.col("face_id").alias("root"), F.col("root").alias("r2"))
-        new = new.join(jump, "root", "left").select("face_id", F.coalesce("r2", "root").alias("root"))
-        new = cut(new)
-        changed = new.join(label.withColumnRenamed("root", "old"), "face_id").filter("root <> old").limit(1).count()
-        label = new
-        if not changed:
-            break
-    return label
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, so that plans of loops don't
-    grow. Only a local session without such a folder gets one of its own."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lumenstack-checkpoint-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+        new = staged(new.join(jump, "root", "left").select("face_id", F.coalesce("r2", "root").alias("root"), "old"), "labels")
+        if new.filter("root <> old").isEmpty():
+            return new.select("face_id", "root")
+        label = new.select("face_id", "root")
 
 
 def greedy_groups(ids: list, assets: list, vectors: np.ndarray, links: list[tuple[float, int, int]], threshold: float, slack: float) -> list[list[int]]:

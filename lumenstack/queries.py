@@ -479,6 +479,15 @@ def cosine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_EDGES} SELECT a, b FROM e QUALIFY row_number() OVER (PARTITION BY b ORDER BY s DESC, a) <= 3")
 def edge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.edges(_faces(spark, sf_dir), 0.35, neighbours=3, cut_first=False).select("a", "b")
+
+
+@_query(f"""WITH v AS (SELECT vec_id, {_UNIT} AS v FROM embeddings),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.35),
+    t AS (SELECT a, b FROM e QUALIFY row_number() OVER (PARTITION BY b ORDER BY s DESC, a) <= 3)
+    SELECT a, b FROM t WHERE a // 3 <> b // 3""")
+def edge_topk_cut_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: the strongest neighbours are cut before pairs of one picture go."""
     return vectors.edges(_faces(spark, sf_dir), 0.35, neighbours=3).select("a", "b")
 
 

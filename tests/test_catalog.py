@@ -214,6 +214,52 @@ def test_clusters_equal_a_global_run(spark):
     assert {frozenset(g) for g in found.values()} == want and len(want) > 3
 
 
+def test_clusters_equal_a_naive_version(spark):
+    """Written from the rules alone: all pairs, lists of groups, no components."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(5, 12))
+    v = np.array([base[i % 5] + 0.7 * rng.normal(size=12) for i in range(70)])
+    names_, photos = [f"f{i}" for i in range(70)], [f"p{i // 3}" for i in range(70)]
+    low = rng.random(70) < 0.2
+    data = [(n, a, "m", "1", None, None, "low" if q else "standard", 0.99, [float(np.float32(x)) for x in row]) for n, a, q, row in zip(names_, photos, low, v)]
+    faces = spark.createDataFrame(data, schemas.schema("asset_faces"))
+    u = v.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    sim = u @ u.T
+    order = sorted(range(70), key=lambda i: names_[i])
+    links = []
+    for pos, b in enumerate(order):
+        near = [a for a in order[:pos] if sim[a, b] >= 0.48 + 0.06 * (low[a] or low[b])]
+        near = sorted(near, key=lambda a: (-sim[a, b], names_[a]))[:4]
+        links += [(-sim[a, b], order.index(a), pos) for a in near if photos[a] != photos[b]]
+    groups = [{i} for i in range(70)]
+    for _, x, y in sorted(links):
+        g, h = (next(q for q in groups if order[z] in q) for z in (x, y))
+        cross = [sim[i, j] for i in g for j in h]
+        if g is h or {photos[i] for i in g} & {photos[i] for i in h} or np.mean(cross) < 0.48 or (len(cross) > 1 and min(cross) < 0.38):
+            continue
+        groups = [q for q in groups if q is not g and q is not h] + [g | h]
+    want = {frozenset(names_[i] for i in g) for g in groups if len(g) > 1}
+    found = {}
+    for r in vectors.candidate_groups(faces, neighbours=4).collect():
+        found.setdefault(r.group_id, set()).add(r.face_id)
+    assert {frozenset(g) for g in found.values()} == want and len(want) > 3
+
+
+def test_edges_do_not_depend_on_the_grid(spark):
+    rng = np.random.default_rng(5)
+    faces = _face_rows(spark, rng.normal(size=(120, 6)), [f"p{i // 2}" for i in range(120)])
+    whole = {(r.a, r.b): round(r.similarity, 9) for r in vectors.edges(faces, 0.4, neighbours=None).collect()}
+    parts = {(r.a, r.b): round(r.similarity, 9) for r in vectors.edges(faces, 0.4, neighbours=None, block=8, group=16).collect()}
+    assert parts == whole and len(whole) > 100 and vectors.edges(faces.filter("false")).count() == 0
+    assert vectors._groups(10_000_000, 512, 16_384) == 611 and vectors._groups(500, 512, 16_384) == 1
+
+
+def test_components_of_a_long_chain(spark):
+    chain = spark.range(5000).selectExpr("lpad(id, 5, '0') a", "lpad(id + 1, 5, '0') b")
+    assert [tuple(r) for r in vectors.components(chain).groupBy("root").count().collect()] == [("00000", 5001)]
+
+
 def test_people(spark):
     t = empty_tables(spark)
     t["asset_faces"] = _face_rows(spark, np.eye(4), list("aabc"))
