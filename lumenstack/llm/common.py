@@ -1,84 +1,32 @@
-"""What several corpus operators share: table access, the shared scratch
-folder, the hold-out rule and byte-bounded batching."""
+"""What several corpus operators share: table access, the hold-out rule, bounded
+samples and byte-bounded batching; staged tables are the library's own."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import os
-import shutil
-import tempfile
-import uuid
-import weakref
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import clear_scratch, scratch_path, shared_folder, staged  # noqa: F401
+
 #: Rows whose crc32 of the id, modulo HOLDOUT_MOD, is HOLDOUT_REST are never learned from.
 HOLDOUT_MOD, HOLDOUT_REST = 4, 2
 #: Text bytes that a Python stage works on at once.
 CHUNK_BYTES = 1 << 20
-#: Rows of 16 to 40 bytes up to which a side may be broadcast, once counted.
-BROADCAST_ROWS = 100_000
-
-_own_folder: dict[str, str] = {}
-_written: list[tuple[weakref.ref, str]] = []
+#: Classes of a sample whose shares are broadcast.
+CLASSES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session has none (tests
-    on one machine) a temporary one that this process removes at its end."""
-    set_ = spark.conf.get("spark.checkpoint.dir", None)
-    if set_:
-        return set_.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _own_folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        _own_folder[key] = tempfile.mkdtemp(prefix="lumenstack-")
-        atexit.register(shutil.rmtree, _own_folder[key], ignore_errors=True)
-    return f"file://{_own_folder[key]}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((weakref.ref(spark), path))
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: the lineage ends
-    there, and losing an executor loses no rows."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Removes what ``staged`` wrote for this session. Only once no frame that
-    was read from there is in use."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for ref, path in list(_written):
-        if ref() is spark:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-            _written.remove((ref, path))
-
-
-def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it counts at most ``rows`` rows, else as
-    it is, for a shuffled join. ``df`` should be a staged table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """The hold-out rule; a null id counts as not held out."""
     rest = F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % HOLDOUT_MOD
@@ -92,30 +40,33 @@ def learnable(doc_id: str = "doc_id") -> Column:
 
 def bounded_sample(df: DataFrame, key: str, classes: str, per_class: int) -> DataFrame:
     """About ``per_class`` rows of each value of ``classes`` at most, picked by
-    a hash of ``key`` so that the choice doesn't depend on partitioning."""
-    counts = {r[0]: r[1] for r in df.groupBy(classes).count().collect()}
+    a hash of ``key`` so that the choice doesn't depend on partitioning. Shares
+    of the classes are joined, a row for each class; they are sent to all tasks if
+    they count at most ``CLASSES``."""
     scale = 1 << 20
+    counts = df.filter(F.col(classes).isNotNull()).groupBy(F.col(classes).alias("__class")).agg(F.greatest(F.lit(1), F.round(F.lit(scale) * F.least(F.lit(1.0), F.lit(per_class) / F.count("*")))).alias("__share"))
+    counts = staged(counts, "shares")
+    if counts.count() <= CLASSES:
+        counts = F.broadcast(counts)
     pick = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(scale))
-    keep = F.lit(False)
-    for value, n in counts.items():
-        if value is not None:
-            keep = keep | ((F.col(classes) == F.lit(value)) & (pick < max(1, round(scale * min(1.0, per_class / n)))))
-    return df.filter(keep)
+    return df.join(counts, (F.col(classes) == F.col("__class")) & (pick < F.col("__share")), "left_semi")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about ``limit`` bytes of ``column`` (at least
-    a row), each with its texts, null as the empty string."""
+    a row), each with its texts, null as the empty string. Only one slice's
+    texts are Python strings at a time."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        start = size = 0
-        for i, text in enumerate(texts):
-            size += len(text) if text is not None else 0
-            if size >= limit or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), [t or "" for t in texts[start : i + 1]]
-                start, size = i + 1, 0
+        values = batch.column(batch.schema.get_field_index(column))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = min(batch.num_rows, int(np.searchsorted(ends, before + limit, "left")) + 1)
+            yield batch.slice(start, stop - start), [t or "" for t in values.slice(start, stop - start).to_pylist()]
+            start = stop
     _give_back()
 
 

@@ -9,24 +9,29 @@ reject pairs that are far apart; exact Jaccard similarity on whole sets confirms
 or rejects the others.
 
 Copies are folded first: documents with equal sets are one class, and only
-classes are compared. No bucket's pairs are all listed. In a first round each
-bucket's members are compared with its most central class (the one with the
-fullest buckets, such as the text that the others were made from). The second
-round lists only pairs of one bucket that no confirmed link has connected yet,
-which are what remains to be known about components. So candidate search has
-no cap. The least similarity of a link is a parameter, and ``similarity``
+classes are compared. In a first round each bucket's members are compared with
+its most central class (the one with the fullest buckets, such as the text that
+the others were made from). The second round takes the buckets that confirmed
+links have not connected yet: their members are dealt into groups of ``GROUP``,
+and each pair of groups is compared as arrays in one place, which emits only near
+pairs that no link connects. So candidate search has no cap, and no task holds a
+whole bucket. The least similarity of a link is a parameter, and ``similarity``
 derives the bands and the signature check from it: a link of similarity s is
 missed with (1 - s^ROWS)^bands, at most ``MISSED`` (8e-6 at 0.85, 1e-5 at 0.8),
 or if more than ``most_apart`` coordinates differ, at most ``MISSED_APART``.
 
+What is shuffled are keys and sketches: first bare band keys, to find those that
+several classes share, then the rows of those keys alone. Filters of bounded size
+(``bloom``) find rows in place, so whole texts are never shuffled, at any size.
 Comparisons stream: a leader's set is held while its members pass, in groups
 that are salted to ``GROUP`` members. Components come from alternating large
 and small stars over staged edge tables; nothing about documents is collected.
 
 Null or empty text, or no words: an empty set, linked with nothing. Fewer than
 ``WORDS`` words: one shingle of all of them. Rows without a doc_id link with
-nothing and are kept. Rows that repeat a doc_id: each is judged by its text.
-Empty table: no rows. Columns other than doc_id and text are ignored.
+nothing and are kept. Rows that repeat a doc_id: each is judged by its text; of
+rows that repeat both, ``first_of_each`` keeps one. Empty table: no rows.
+Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +48,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_or_plain, staged
+from .bloom import Bloom, without
+from .common import chunks, staged
 from .textscan import join
 
 WORDS = 5
@@ -54,7 +60,7 @@ COORDINATES = 128
 LEAST = 0.85
 #: Bounds on the links of the least similarity that bands and the signature check miss.
 MISSED, MISSED_APART = 1e-5, 1e-7
-#: Members that are compared with one leader in one stream.
+#: Members that are compared with one leader in one stream, and of one group of an open bucket.
 GROUP = 256
 
 _rng = np.random.default_rng(20240601)
@@ -67,7 +73,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 BITS = [f"bits{i}" for i in range(2 * COORDINATES // 64)]
-SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>, " + ", ".join(f"{b} long" for b in BITS)
+SKETCH = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, " + ", ".join(f"{b} long" for b in BITS)
 
 
 @dataclass(frozen=True)
@@ -105,8 +111,8 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _mix32(x: np.ndarray) -> np.ndarray:
-    """A permutation of the 32-bit integers; works in place."""
+def _scatter(x: np.ndarray) -> np.ndarray:
+    """The first permutation of the 32-bit integers; works in place."""
     x ^= x >> np.uint32(16)
     x *= np.uint32(0x85EBCA6B)
     x ^= x >> np.uint32(13)
@@ -115,6 +121,17 @@ def _mix32(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _rank(x: np.ndarray) -> np.ndarray:
+    """The second one, with other steps; works in place."""
+    x ^= np.uint32(0x5BD1E995)
+    x ^= x >> np.uint32(17)
+    x *= np.uint32(0xED5AD4BB)
+    x ^= x >> np.uint32(11)
+    x *= np.uint32(0xAC4C1B51)
+    x ^= x >> np.uint32(15)
+    return x
+
+
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles."""
     data, starts = join(texts)
@@ -150,10 +167,10 @@ def signatures(sets: list[np.ndarray], k: int = COORDINATES) -> np.ndarray:
     """The k coordinates of each non-empty set."""
     every = np.concatenate(sets)
     at = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    scattered = _mix32((every >> np.uint64(32)).astype(np.uint32))
+    scattered = _scatter((every >> np.uint64(32)).astype(np.uint32))
     out = np.empty((len(sets), k), np.uint32)
     for shift in range(k):
-        out[:, shift] = np.minimum.reduceat(_mix32(scattered + np.uint32(shift)), at)
+        out[:, shift] = np.minimum.reduceat(_rank(scattered + np.uint32(shift)), at)
     return out
 
 
@@ -182,7 +199,7 @@ def _node(s: np.ndarray) -> bytes | None:
 
 
 def sketch(docs: DataFrame, bands: int) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit hash of the set; null: empty) and bands."""
+    """doc_id, text_hash, n_shingles, node (128-bit hash of the set; null: empty) and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
@@ -196,27 +213,31 @@ def sketch(docs: DataFrame, bands: int) -> DataFrame:
                 for i, key in zip(full, band_keys(signed, bands)):
                     keys[i] = key
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)],
-                names=["doc_id", "n_shingles", "node", "bands", *BITS],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)],
+                names=["doc_id", "text_hash", "n_shingles", "node", "bands", *BITS],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash().alias("text_hash")).mapInArrow(run, SKETCH)
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and its whole set (packed), for the classes (node, doc_id) of ``pairs``; staged.
-    The text that is read must still hash to the node, so that a repeated
-    doc_id can't stand in for another text."""
+    """node and its whole set (packed), for the classes (node, doc_id) of ``pairs``
+    and a few more; staged. A filter finds the texts in place. What counts is the
+    text that is read, so a repeated doc_id can't stand in for another text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
-            found = [(n, s.tobytes()) for n, s in zip(batch.column(0).to_pylist(), shingle_sets(texts)) if _node(s) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["node", "shingles"])
+        for batch, texts in chunks(batches, "text"):
+            found = {_node(s): s.tobytes() for s in shingle_sets(texts) if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["node", "shingles"])
 
     nodes = pairs.select(F.col("leader").alias("node")).unionByName(pairs.select(F.col("member").alias("node"))).distinct()
-    wanted = staged(classes.join(nodes, "node", "left_semi"), "wanted")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_or_plain(wanted), "doc_id")
-    return staged(keyed.select("node", "text").mapInArrow(run, "node binary, shingles binary"), "sets")
+    wanted = staged(classes.join(nodes, "node", "left_semi").select(F.xxhash64("doc_id", "text_hash").alias("h")), "wanted")
+    narrow = docs.select("text", F.xxhash64(F.col("doc_id").cast("long"), _text_hash()).alias("h"))
+    return staged(Bloom.of(wanted, F.col("h")).flagged(narrow, F.col("h"), "wanted").filter("wanted").select("text").mapInArrow(run, "node binary, shingles binary"), "sets")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, link: Similarity) -> DataFrame:
@@ -267,50 +288,139 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links of ``least``
-    similarity reach) and kept (the document that stays for its component), for
-    every row."""
-    link = similarity(least)
-    sketches = staged(sketch(docs, link.bands), "sketches")
+def _classes(sketches: DataFrame) -> DataFrame:
+    """node, doc_id (the smallest), text_hash, n, bands and bits of every class; staged.
+    Most sets are one document's own: only sketches of the others are shuffled."""
     named = sketches.filter("doc_id is not null and node is not null")
-    first = F.min(F.struct("doc_id", "n_shingles", "bands", *BITS)).alias("x")
-    classes = staged(named.groupBy("node").agg(first).select("node", F.col("x.doc_id").alias("doc_id"), F.col("x.n_shingles").alias("n"), *(F.col(f"x.{c}") for c in ("bands", *BITS))), "classes")
-
-    rows = classes.select("node", "n", *BITS, F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = staged(rows.join(shared, "key"), "buckets")
-    central = rows.groupBy("node").agg(F.sum("size").alias("central"))
-    rows = staged(rows.join(central, "node").select("key", "node", "n", *BITS, "central"), "central")
-    leader = rows.groupBy("key").agg(F.max(F.struct("central", "node", "n", *BITS)).alias("x")).select("key", F.col("x.node").alias("leader"), F.col("x.n").alias("n_leader"), *(F.col(f"x.{b}").alias(f"to_{b}") for b in BITS))
-    fits = lambda a, b: link.denominator * F.least(a, b) >= link.numerator * F.greatest(a, b)
-    stars = rows.join(leader, "key").filter((F.col("node") != F.col("leader")) & fits(F.col("n"), F.col("n_leader")) & _near("", "to_", link.most_apart))
-    stars = staged(stars.select("leader", F.col("node").alias("member")).distinct(), "stars")
-
-    sets = _sets_of(docs, classes.select("node", "doc_id"), stars)
-    links = _links(stars, sets, link)
+    own = F.xxhash64("node")
+    shared = staged(named.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), "shared_sets")
+    wide = named.select("node", "doc_id", "text_hash", F.col("n_shingles").alias("n"), "bands", *BITS)
+    columns = wide.columns[1:]
+    wide = Bloom.of(shared, own).flagged(wide, own, "several")
+    folded = wide.filter("several").groupBy("node").agg(F.min(F.struct(*columns)).alias("x")).select("node", *(F.col(f"x.{c}").alias(c) for c in columns))
+    return staged(wide.filter("not several").select("node", *columns).unionByName(folded), "classes")
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """key, size, node, n and bits of classes in buckets that they share, and how
+    central they are (the sum of their buckets' sizes); staged."""
+    keys = classes.select(F.explode("bands").alias("key"))
+    shared = staged(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared_keys")
+    known = Bloom.of(shared, F.col("key"))
+    placed = known.flagged(classes.select("node", F.explode("bands").alias("key")), F.col("key"), "held").filter("held").drop("held")
+    placed = staged(placed.join(shared, "key"), "placed")
+    central = staged(placed.groupBy("node").agg(F.sum("size").alias("central")), "central")
+    own = F.xxhash64("node")
+    some = Bloom.of(central, own).flagged(classes.select("node", "n", *BITS), own, "placed").filter("placed").drop("placed")
+    return staged(placed.join(some.join(central, "node"), "node").select("key", "node", "n", "central", *BITS), "buckets")
+
+
+def _stars(rows: DataFrame, link: Similarity) -> DataFrame:
+    """leader, member: each bucket's members that may be near its most central class; staged."""
+    leader = rows.groupBy("key").agg(F.max(F.struct("central", "node", "n", *BITS)).alias("x"))
+    leader = staged(leader.select("key", F.col("x.node").alias("leader"), F.col("x.n").alias("n_leader"), *(F.col(f"x.{b}").alias(f"to_{b}") for b in BITS)), "leaders")
+    fits = link.denominator * F.least("n", "n_leader") >= link.numerator * F.greatest("n", "n_leader")
+    near = rows.join(leader, "key").filter((F.col("node") != F.col("leader")) & fits & _near("", "to_", link.most_apart))
+    return staged(near.select("leader", F.col("node").alias("member")).distinct(), "stars")
+
+
+CELL = "leader binary, member binary"
+_ODD_BITS = np.uint64(0x5555555555555555)
+
+
+def _open_pairs(rows: DataFrame, root: DataFrame, link: Similarity) -> DataFrame:
+    """leader, member: pairs that may be near, of buckets that links have not
+    connected, in different components. A bucket's members are dealt into groups;
+    each pair of groups is a cell, in which one group is held while the other passes."""
+    placed = staged(rows.drop("central").join(root, "node", "left").select("key", "node", "n", *BITS, F.coalesce("root", "node").alias("root")), "rooted")
+    open_ = staged(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / GROUP).cast("int").alias("groups")).filter("lo <> hi").select("key", "groups"), "open_keys")
+    some = Bloom.of(open_, F.col("key")).flagged(placed, F.col("key"), "held").filter("held").drop("held").join(open_, "key")
+    some = some.withColumn("own", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
+    held = some.withColumns({"i": F.col("own"), "j": F.explode(F.sequence(F.col("own"), F.col("groups") - 1)), "side": F.lit(0)})
+    passing = some.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("own"))), "j": F.col("own"), "side": F.lit(1)})
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = held.unionByName(passing).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def arrays(batch: pa.RecordBatch, lo: int, hi: int) -> tuple:
+        part = batch.slice(lo, hi - lo)
+        bits = np.stack([c.to_numpy().view(np.uint64) for c in part.columns[6:]], 1)
+        return np.array(part.column(4).to_pylist(), object), np.array(part.column(5).to_pylist(), object), bits, part.column(3).to_numpy()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, group = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            sides = batch.column(batch.num_columns - 1).to_numpy()
+            marks = np.concatenate([ids, sides[:, None]], 1)
+            cuts = [0, *(1 + np.flatnonzero((np.diff(marks, axis=0) != 0).any(1))).tolist(), batch.num_rows]
+            body = batch.select([c for c in batch.schema.names if c != "side"])
+            for lo, hi in zip(cuts, cuts[1:]):
+                here = tuple(ids[lo].tolist())
+                if here != cell:
+                    cell, group = here, []
+                if sides[lo] == 0:
+                    group.append(arrays(body, lo, hi))
+                    continue
+                for at in range(lo, hi, GROUP):
+                    node, root_, bits, size = arrays(body, at, min(at + GROUP, hi))
+                    for node0, root0, bits0, size0 in group:
+                        a, b = size0[:, None], size[None, :]
+                        ok = link.denominator * np.minimum(a, b) >= link.numerator * np.maximum(a, b)
+                        ok &= root0[:, None] != root_[None, :]
+                        p, q = np.nonzero(ok)
+                        x = bits0[p] ^ bits[q]
+                        near = np.bitwise_count((x | (x >> np.uint64(1))) & _ODD_BITS).sum(1, dtype=np.int64) <= link.most_apart
+                        pairs = {(min(u, v), max(u, v)) for u, v in zip(node0[p[near]].tolist(), node[q[near]].tolist())}
+                        if pairs:
+                            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.binary()), pa.array([v for _, v in pairs], pa.binary())], names=["leader", "member"])
+
+    return cells.select("key", "i", "j", "n", "node", "root", *BITS, "side").mapInArrow(compare, CELL).distinct()
+
+
+def _linked(docs: DataFrame, sketches: DataFrame, link: Similarity) -> DataFrame:
+    """node and component_id of every class that has links or several rows; staged."""
+    classes = _classes(sketches)
+    rows = _buckets(classes)
+    stars = _stars(rows, link)
+    named = classes.select("node", "doc_id", "text_hash")
+    links = _links(stars, _sets_of(docs, named, stars), link)
     root = components(links)
-
-    placed = rows.join(root, "node", "left").select("key", "node", "n", *BITS, F.coalesce("root", "node").alias("root"))
-    open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    placed = staged(placed.join(open_, "key"), "open")
-    a, b = (placed.select("key", *(F.col(c).alias(side + c) for c in ("node", "n", "root", *BITS))) for side in ("a_", "b_"))
-    apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
-    rest = a.join(b, "key").filter(apart & fits(F.col("a_n"), F.col("b_n")) & _near("a_", "b_", link.most_apart)).select(F.col("a_node").alias("leader"), F.col("b_node").alias("member")).distinct()
+    rest = _open_pairs(rows, root, link)
     seen = stars.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
     rest = staged(rest.join(seen, ["leader", "member"], "left_anti"), "rest")
-    more = _links(rest, _sets_of(docs, classes.select("node", "doc_id"), rest), link)
-    root = staged(components(links.unionByName(more)), "roots")
+    if not rest.isEmpty():
+        more = _links(rest, _sets_of(docs, named, rest), link)
+        root = staged(components(links.unionByName(more)), "roots")
+    smallest = named.join(root, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = root.join(smallest, "root").select("node", "component_id")
+    several = sketches.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("own_id"), F.count("*").alias("n")).filter("n > 1")
+    return staged(several.select("node", "own_id").join(linked, "node", "full_outer").select("node", F.coalesce("component_id", "own_id").alias("component_id")), "by_class")
 
-    smallest = classes.join(root, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = root.join(smallest, "root").select("node", F.col("component_id").alias("linked_id"))
-    by_class = staged(classes.select("node", F.col("doc_id").alias("own_id")).join(linked, "node", "left").select("node", F.coalesce("linked_id", "own_id").alias("component_id")), "by_class")
-    out = sketches.select("doc_id", "n_shingles", "node").join(by_class, "node", "left")
+
+def _decisions(docs: DataFrame, least: float) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id of every row."""
+    link = similarity(least)
+    sketches = staged(sketch(docs, link.bands), "sketches")
+    by_class = _linked(docs, sketches, link)
+    out = sketches.select("doc_id", "text_hash", "n_shingles", "node").join(by_class, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links of ``least``
+    similarity reach) and kept (the document that stays for its component), for
+    every row."""
+    return _decisions(docs, least).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows, all columns as they are, that stay for their component."""
-    dropped = staged(near_duplicates(docs, least).filter("not kept").select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
-    return docs.join(small_or_plain(dropped), docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
+    """The rows, all columns as they are, that stay for their component; of rows
+    that repeat doc_id and text one. Rows without a doc_id stay, each of them."""
+    named = docs.filter(F.col("doc_id").isNotNull())
+    kept = F.col("doc_id") == F.col("component_id")
+    rows = _decisions(named, least).groupBy(F.col("doc_id").alias("k0"), F.col("text_hash").alias("k1")).agg(F.bool_and(kept).alias("kept"), F.count("*").alias("times"))
+    key = lambda df: [F.col("doc_id").cast("long"), _text_hash()]
+    return without(docs, key, staged(rows, "decided"), F.col("doc_id").isNotNull())
