@@ -58,10 +58,14 @@ ROWS, MOST_BANDS = 5, 512
 COORDINATES = 128
 #: Share of the union that a link shares at least, unless another is asked for.
 LEAST = 0.85
+#: Coordinates of which four bits are compared in open buckets.
+FINE_COORDINATES = 256
 #: Bounds on the links of the least similarity that bands and the signature check miss.
 MISSED, MISSED_APART = 1e-5, 1e-7
 #: Members that are compared with one leader in one stream, and of one group of an open bucket.
 GROUP = 256
+#: Bytes of sets of one group of an open bucket, on average.
+GROUP_BYTES = 8 << 20
 
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -73,6 +77,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 BITS = [f"bits{i}" for i in range(2 * COORDINATES // 64)]
+MARKS = [f"mark{i}" for i in range(4 * FINE_COORDINATES // 64)]
 SKETCH = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, " + ", ".join(f"{b} long" for b in BITS)
 
 
@@ -84,23 +89,29 @@ class Similarity:
     denominator: int
     bands: int
     most_apart: int
+    marks_apart: int
 
 
 @functools.lru_cache
 def similarity(least: float) -> Similarity:
     """The fewest bands and the narrowest signature check within the bounds. Two
     bits of a coordinate differ with 3/4 (1 - least), so 14.4 of 128 on average
-    at 0.85 (deviation 3.6) and 19.2 at 0.8 (4.0)."""
+    at 0.85 (deviation 3.6) and 19.2 at 0.8 (4.0); four bits with 15/16, so 36 of
+    256 at 0.85 (5.6)."""
     share = Fraction(str(least))
     if not 0 < share <= 1:
         raise ValueError("the least similarity must be in (0, 1]")
     bands = 1 if share == 1 else math.ceil(math.log(MISSED) / math.log1p(-(float(share) ** ROWS)))
     if bands > MOST_BANDS:
         raise ValueError(f"a similarity of {least} needs {bands} bands; there are {MOST_BANDS}")
-    p = 0.75 * (1 - float(share))
-    chance = [math.comb(COORDINATES, n) * p**n * (1 - p) ** (COORDINATES - n) for n in range(COORDINATES + 1)]
-    most = next(n for n in range(COORDINATES + 1) if math.fsum(chance[n + 1 :]) <= MISSED_APART)
-    return Similarity(share.numerator, share.denominator, bands, most)
+    apart = 1 - float(share)
+    return Similarity(share.numerator, share.denominator, bands, _most_apart(COORDINATES, 3 / 4 * apart), _most_apart(FINE_COORDINATES, 15 / 16 * apart))
+
+
+def _most_apart(coordinates: int, p: float) -> int:
+    """The fewest coordinates that a link differs in more of with at most ``MISSED_APART``."""
+    chance = [math.comb(coordinates, n) * p**n * (1 - p) ** (coordinates - n) for n in range(coordinates + 1)]
+    return next(n for n in range(coordinates + 1) if math.fsum(chance[n + 1 :]) <= MISSED_APART)
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -185,6 +196,12 @@ def two_bits(signature: np.ndarray) -> np.ndarray:
     return (part << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2).view(np.int64)
 
 
+def four_bits(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, 16 coordinates to an integer."""
+    part = (signature & np.uint32(15)).astype(np.uint64).reshape(len(signature), -1, 16)
+    return (part << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2).view(np.int64)
+
+
 def _near(a: str, b: str, most_apart: int) -> Column:
     """Whether few enough coordinates of ``a``bits and ``b``bits differ."""
     apart = F.lit(0)
@@ -224,20 +241,47 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def _texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of the classes (node, doc_id, text_hash) of ``nodes``, and a few
+    more, found in place by a filter."""
+    wanted = staged(classes.join(nodes.distinct(), "node", "left_semi").select(F.xxhash64("doc_id", "text_hash").alias("h")), "wanted")
+    narrow = docs.select("text", F.xxhash64(F.col("doc_id").cast("long"), _text_hash()).alias("h"))
+    return Bloom.of(wanted, F.col("h")).flagged(narrow, F.col("h"), "wanted").filter("wanted").select("text")
+
+
 def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and its whole set (packed), for the classes (node, doc_id) of ``pairs``
-    and a few more; staged. A filter finds the texts in place. What counts is the
-    text that is read, so a repeated doc_id can't stand in for another text."""
+    """node and its whole set (packed), for the classes of ``pairs`` and a few
+    more; staged. What counts is the text that is read, so a repeated doc_id
+    can't stand in for another text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches):
             found = {_node(s): s.tobytes() for s in shingle_sets(texts) if len(s)}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["node", "shingles"])
 
-    nodes = pairs.select(F.col("leader").alias("node")).unionByName(pairs.select(F.col("member").alias("node"))).distinct()
-    wanted = staged(classes.join(nodes, "node", "left_semi").select(F.xxhash64("doc_id", "text_hash").alias("h")), "wanted")
-    narrow = docs.select("text", F.xxhash64(F.col("doc_id").cast("long"), _text_hash()).alias("h"))
-    return staged(Bloom.of(wanted, F.col("h")).flagged(narrow, F.col("h"), "wanted").filter("wanted").select("text").mapInArrow(run, "node binary, shingles binary"), "sets")
+    nodes = pairs.select(F.col("leader").alias("node")).unionByName(pairs.select(F.col("member").alias("node")))
+    return staged(_texts_of(docs, classes, nodes).mapInArrow(run, "node binary, shingles binary"), "sets")
+
+
+def _details_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, four bits of each of ``FINE_COORDINATES`` and the whole set (packed), of
+    ``nodes`` and a few more; staged. Rows that repeat doc_id and text repeat theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            found = {_node(s): s for s in shingle_sets(texts) if len(s)}
+            if found:
+                marks = four_bits(signatures(list(found.values()), FINE_COORDINATES))
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), *(pa.array(np.ascontiguousarray(m)) for m in marks.T), pa.array([s.tobytes() for s in found.values()], pa.binary())], names=["node", *MARKS, "shingles"])
+
+    rows = _texts_of(docs, classes, nodes).mapInArrow(run, "node binary, " + ", ".join(f"{m} long" for m in MARKS) + ", shingles binary")
+    return staged(rows, "details")
+
+
+def _linked_sets(a: np.ndarray, b: np.ndarray, link: Similarity) -> bool:
+    """Whether two sets, sorted and not empty, share enough of their union."""
+    shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return link.denominator * shared >= link.numerator * (len(a) + len(b) - shared)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, link: Similarity) -> DataFrame:
@@ -255,8 +299,7 @@ def _links(pairs: DataFrame, sets: DataFrame, link: Similarity) -> DataFrame:
                     continue
                 if leader != held:
                     raise RuntimeError("a member without its leader")
-                shared = int((held_set[np.minimum(np.searchsorted(held_set, s), len(held_set) - 1)] == s).sum())
-                if link.denominator * shared >= link.numerator * (len(s) + len(held_set) - shared):
+                if _linked_sets(held_set, s, link):
                     out.append((leader, member))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
 
@@ -324,59 +367,73 @@ def _stars(rows: DataFrame, link: Similarity) -> DataFrame:
     return staged(near.select("leader", F.col("node").alias("member")).distinct(), "stars")
 
 
-CELL = "leader binary, member binary"
-_ODD_BITS = np.uint64(0x5555555555555555)
+_FOURTH_BITS = np.uint64(0x1111111111111111)
+
+
+def _fours_apart(x: np.ndarray) -> np.ndarray:
+    """For rows of exclusive ors the number of groups of four bits that differ."""
+    x = x | (x >> np.uint64(1))
+    x |= x >> np.uint64(2)
+    return np.bitwise_count(x & _FOURTH_BITS).sum(1, dtype=np.int64)
 
 
-def _open_pairs(rows: DataFrame, root: DataFrame, link: Similarity) -> DataFrame:
-    """leader, member: pairs that may be near, of buckets that links have not
-    connected, in different components. A bucket's members are dealt into groups;
-    each pair of groups is a cell, in which one group is held while the other passes."""
-    placed = staged(rows.drop("central").join(root, "node", "left").select("key", "node", "n", *BITS, F.coalesce("root", "node").alias("root")), "rooted")
-    open_ = staged(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / GROUP).cast("int").alias("groups")).filter("lo <> hi").select("key", "groups"), "open_keys")
-    some = Bloom.of(open_, F.col("key")).flagged(placed, F.col("key"), "held").filter("held").drop("held").join(open_, "key")
+def _open_links(docs: DataFrame, named: DataFrame, rows: DataFrame, root: DataFrame, link: Similarity) -> DataFrame:
+    """The links (a, b) between different components in buckets that the stars'
+    links have not connected; staged. A bucket's members are dealt into groups of at most
+    about ``GROUP`` sets and ``GROUP_BYTES``; each pair of groups is a cell, in
+    which one group is held while the other passes. Marks reject pairs that are
+    far apart, whole sets decide: they move once for each cell, not for each pair."""
+    placed = staged(rows.select("key", "node", "n").join(root, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    groups = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") * 8 / GROUP_BYTES)).cast("int")
+    open_ = staged(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), groups.alias("groups")).filter("lo <> hi").select("key", "groups"), "open_keys")
+    some = staged(Bloom.of(open_, F.col("key")).flagged(placed, F.col("key"), "held").filter("held").drop("held").join(open_, "key"), "open")
     some = some.withColumn("own", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
     held = some.withColumns({"i": F.col("own"), "j": F.explode(F.sequence(F.col("own"), F.col("groups") - 1)), "side": F.lit(0)})
-    passing = some.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("own"))), "j": F.col("own"), "side": F.lit(1)})
+    passing = some.filter("own > 0").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("own") - 1)), "j": F.col("own"), "side": F.lit(1)})
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = held.unionByName(passing).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-
-    def arrays(batch: pa.RecordBatch, lo: int, hi: int) -> tuple:
-        part = batch.slice(lo, hi - lo)
-        bits = np.stack([c.to_numpy().view(np.uint64) for c in part.columns[6:]], 1)
-        return np.array(part.column(4).to_pylist(), object), np.array(part.column(5).to_pylist(), object), bits, part.column(3).to_numpy()
+    cells = held.unionByName(passing).join(_details_of(docs, named, some.select("node")), "node")
+    cells = cells.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def arrays(part: pa.RecordBatch) -> tuple:
+        marks = np.stack([part.column(m).to_numpy().view(np.uint64) for m in MARKS], 1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")]
+        return np.array(part.column("node").to_pylist(), object), np.array(part.column("root").to_pylist(), object), marks, part.column("n").to_numpy(), sets
+
+    def near(a: tuple, b: tuple) -> Iterator[tuple[bytes, bytes]]:
+        x, y = a[3][:, None], b[3][None, :]
+        ok = link.denominator * np.minimum(x, y) >= link.numerator * np.maximum(x, y)
+        p, q = np.nonzero(ok & (a[1][:, None] != b[1][None, :]))
+        close = _fours_apart(a[2][p] ^ b[2][q]) <= link.marks_apart
+        for u, v in zip(p[close].tolist(), q[close].tolist()):
+            if a[0][u] < b[0][v] and _linked_sets(a[4][u], b[4][v], link):
+                yield a[0][u], b[0][v]
+            elif a[0][u] > b[0][v] and a is not b and _linked_sets(b[4][v], a[4][u], link):
+                yield b[0][v], a[0][u]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, group = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
-            sides = batch.column(batch.num_columns - 1).to_numpy()
-            marks = np.concatenate([ids, sides[:, None]], 1)
-            cuts = [0, *(1 + np.flatnonzero((np.diff(marks, axis=0) != 0).any(1))).tolist(), batch.num_rows]
-            body = batch.select([c for c in batch.schema.names if c != "side"])
+            place = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j", "side")], 1)
+            cuts = [0, *(1 + np.flatnonzero((np.diff(place, axis=0) != 0).any(1))).tolist(), batch.num_rows]
+            pairs: set[tuple[bytes, bytes]] = set()
             for lo, hi in zip(cuts, cuts[1:]):
-                here = tuple(ids[lo].tolist())
+                *here, side = place[lo].tolist()
                 if here != cell:
                     cell, group = here, []
-                if sides[lo] == 0:
-                    group.append(arrays(body, lo, hi))
-                    continue
                 for at in range(lo, hi, GROUP):
-                    node, root_, bits, size = arrays(body, at, min(at + GROUP, hi))
-                    for node0, root0, bits0, size0 in group:
-                        a, b = size0[:, None], size[None, :]
-                        ok = link.denominator * np.minimum(a, b) >= link.numerator * np.maximum(a, b)
-                        ok &= root0[:, None] != root_[None, :]
-                        p, q = np.nonzero(ok)
-                        x = bits0[p] ^ bits[q]
-                        near = np.bitwise_count((x | (x >> np.uint64(1))) & _ODD_BITS).sum(1, dtype=np.int64) <= link.most_apart
-                        pairs = {(min(u, v), max(u, v)) for u, v in zip(node0[p[near]].tolist(), node[q[near]].tolist())}
-                        if pairs:
-                            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.binary()), pa.array([v for _, v in pairs], pa.binary())], names=["leader", "member"])
+                    part = arrays(batch.slice(at, min(GROUP, hi - at)))
+                    inside = here[1] == here[2]  # a group against itself
+                    if side or inside:
+                        pairs.update(*(near(other, part) for other in group))
+                    if inside:
+                        pairs.update(near(part, part))
+                    if not side:
+                        group.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.binary()), pa.array([v for _, v in pairs], pa.binary())], names=["a", "b"])
 
-    return cells.select("key", "i", "j", "n", "node", "root", *BITS, "side").mapInArrow(compare, CELL).distinct()
+    return staged(cells.select("key", "i", "j", "side", "n", "node", "root", *MARKS, "shingles").mapInArrow(compare, "a binary, b binary").distinct(), "open_links")
 
 
 def _linked(docs: DataFrame, sketches: DataFrame, link: Similarity) -> DataFrame:
@@ -387,11 +444,8 @@ def _linked(docs: DataFrame, sketches: DataFrame, link: Similarity) -> DataFrame
     named = classes.select("node", "doc_id", "text_hash")
     links = _links(stars, _sets_of(docs, named, stars), link)
     root = components(links)
-    rest = _open_pairs(rows, root, link)
-    seen = stars.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-    rest = staged(rest.join(seen, ["leader", "member"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _links(rest, _sets_of(docs, named, rest), link)
+    more = _open_links(docs, named, rows, root, link)
+    if not more.isEmpty():
         root = staged(components(links.unionByName(more)), "roots")
     smallest = named.join(root, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = root.join(smallest, "root").select("node", "component_id")
