@@ -88,6 +88,24 @@ def _templates(templates: dict[str, str], least: float) -> tuple[Column, list[st
     return F.array(*rows), names, low, high
 
 
+#: Every character of the basic plane but a-z, 0-9 and line ends, and what it becomes.
+_FROM = UPPER + "".join(c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if c not in UPPER + LOWER + "0123456789\n")
+_TO = LOWER + " " * (len(_FROM) - len(UPPER))
+
+
+def _plain(text: str) -> Column:
+    """A-Z lower-cased, every run of other characters than a-z, 0-9 and line ends
+    one space. A look-up by character is far cheaper than a regular expression,
+    which only texts with characters beyond the basic plane need."""
+    flat = F.translate(text, _FROM, _TO)
+    flat = F.when(F.octet_length(flat) == F.char_length(flat), flat).otherwise(F.regexp_replace(flat, "[^a-z0-9\n]", " "))
+    return F.regexp_replace(flat, " {2,}", " ")
+
+
+def _one_line(plain: str) -> Column:
+    return F.regexp_replace(F.translate(plain, "\n", " "), " {2,}", " ")
+
+
 def _once(**columns: Column) -> list[Column]:
     """Columns behind a generator of one row: the optimiser can't copy their
     expressions into the filters and lambdas that use them."""
@@ -99,10 +117,9 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     begins in line n), license_id, dice (6 digits) of every unit that reaches
     ``least`` with a template: its best one."""
     known, names, low, high = _templates(templates or TEMPLATES, least)
-    plain = F.regexp_replace(F.translate("text", UPPER, LOWER), "[^a-z0-9\n]+", " ")
-    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *_once(plain=plain))
+    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *_once(plain=_plain("text")))
     # unit 0 is the whole text if it has several lines, unit n its line n
-    whole = F.when(F.contains("plain", F.lit("\n")), F.regexp_replace("plain", "[ \n]+", " ")).otherwise("")
+    whole = F.when(F.contains("plain", F.lit("\n")), _one_line("plain")).otherwise("")
     units = texts.select("doc_id", F.posexplode(F.concat(F.array(whole), F.split("plain", "\n"))).alias("unit", "line"))
     units = units.select("doc_id", "unit", *_once(words=F.split(F.trim("line"), " ")))
     units = units.filter((F.size("words") > low) & (F.size(F.array_distinct("words")) - 1 <= high))
@@ -161,7 +178,7 @@ def _passages(texts: DataFrame, lines_known: Column, templates: dict[str, str],
         rows.append(F.struct(F.lit(rank).alias("rank"), F.lit(hi).alias("hi"), F.lit(need).alias("need"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")))
     known = F.array(*rows)
 
-    split = texts.select("doc_id", "plain", *_once(words=F.split(F.trim(F.regexp_replace("plain", "[ \n]+", " ")), " ")))
+    split = texts.select("doc_id", "plain", *_once(words=F.split(F.trim(_one_line("plain")), " ")))
     split = split.filter(F.exists("words", lambda w: w.isin(*sorted(rare))))
     known_grams = F.filter(_pairs("words"), lambda g: g.isin(*sorted(every)))
     some = split.select("doc_id", "plain", "words", *_once(seen=F.array_distinct(known_grams))).filter(F.size("seen") > 1)
