@@ -106,6 +106,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     if not len(hard):
         return path
     at, length = first[hard], n[hard]
+    index = np.min_scalar_type(scores.shape[1])  # wide enough for every label
     value = scores[at].astype(np.float64)
     back = []
     for t in range(1, int(length[0])):
@@ -114,7 +115,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
         top = v.argmax(1)
         price = v[np.arange(live), top] - switch
         stay = v >= price[:, None]
-        back.append(np.where(stay, np.arange(v.shape[1], dtype=np.int8), top[:, None].astype(np.int8)))
+        back.append(np.where(stay, np.arange(v.shape[1], dtype=index), top[:, None].astype(index)))
         value[:live] = np.where(stay, v, price[:, None]) + scores[at[:live] + t]
     label = value.argmax(1)
     for t in range(int(length[0]) - 1, -1, -1):
@@ -150,16 +151,14 @@ def label_texts(texts: list[str], model: LanguageModel, with_spans: bool = False
     names = [model.languages[i] if ok else UNDETERMINED for i, ok in zip(top.tolist(), letters.tolist())]
     score = np.where(letters, votes.max(1) / np.maximum(total, 1), 0.0)
     spans: list = [[] for _ in texts]
-    if with_spans:
-        for i, t in enumerate(texts):
+    if with_spans and len(path):
+        # characters before each byte: all bytes but those that continue one
+        chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+        for i in np.flatnonzero(letters).tolist():
             lo, hi = w.first_word[i], w.first_word[i + 1]
-            if not letters[i]:
-                continue
-            raw = t.lower().encode("utf-8", "replace")
-            cuts = [lo, *(lo + 1 + np.flatnonzero(np.diff(path[lo:hi]))).tolist(), hi]
-            for a, b in zip(cuts, cuts[1:]):
-                start, end = w.place[a] - w.starts[i], (w.place[b] - w.starts[i] if b < hi else len(raw))
-                spans[i].append({"start": len(raw[:start].decode("utf-8", "replace")), "end": len(raw[:end].decode("utf-8", "replace")), "lang": model.languages[path[a]]})
+            cuts = np.concatenate([[lo], lo + 1 + np.flatnonzero(np.diff(path[lo:hi]))])
+            at = chars[np.append(w.place[cuts], w.starts[i + 1] - 1)] - chars[w.starts[i]]
+            spans[i] = [{"start": a, "end": b, "lang": model.languages[k]} for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), path[cuts].tolist())]
     return names, score, spans
 
 
@@ -195,6 +194,6 @@ def identified(docs: DataFrame, model: LanguageModel, least: float = 0.4) -> Dat
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row."""
-    out = predict(docs, fit(docs), with_spans=False)
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    """doc_id, held_out, lang_pred, score and spans of every row."""
+    out = predict(docs, fit(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")
