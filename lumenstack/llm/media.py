@@ -103,9 +103,9 @@ def decode(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFram
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """What the stored files of all texts hold, read back, with the full-resolution
-    RGB tensor (height x width x 3 bytes) that they show."""
-    read = read_bytes(store_bytes(docs))
+    """What the stored files of all texts hold, read back. The RGB tensors, of
+    which ``feature`` is taken, are left out; ``decode`` and ``read_bytes`` store them."""
+    read = read_bytes(store_bytes(docs), tensors=False)
     size = F.octet_length("payload").cast("long")
     return read.select(
         "doc_id",
@@ -116,7 +116,4 @@ def digest(docs: DataFrame) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
-        "height",
-        "width",
-        "rgb",
     )
