@@ -18,6 +18,10 @@ closest counts, of several templates the one that shares most bigrams. A unit
 that reaches a template by itself stands for the passages inside it. Only texts
 with enough bigrams of a template anywhere are searched.
 
+The same holds of units: whatever reaches a template has a word of each of its
+anchor sets (``anchor_sets``). Texts that lack one of them for every template
+are left before they are normalised, by a search for bytes.
+
 There is no shuffle: templates are literals of a fixed size.
 
 Null or empty text: no match. Units of fewer than two words have no bigrams and
@@ -28,6 +32,8 @@ their matches. Empty table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -103,7 +109,7 @@ def _plain(text: str) -> Column:
 
 
 def _one_line(plain: str) -> Column:
-    return F.regexp_replace(F.translate(plain, "\n", " "), " {2,}", " ")
+    return F.regexp_replace(F.replace(plain, F.lit("\n"), F.lit(" ")), " {2,}", " ")
 
 
 def _once(**columns: Column) -> list[Column]:
@@ -117,7 +123,9 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     begins in line n), license_id, dice (6 digits) of every unit that reaches
     ``least`` with a template: its best one."""
     known, names, low, high = _templates(templates or TEMPLATES, least)
-    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *_once(plain=_plain("text")))
+    # lower-casing knows other letters and locales too; that may add words, never hide one
+    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_once(low=F.replace(F.lower("text"), F.lit("\u0131"), F.lit("i"))))
+    texts = texts.filter(_may_match("low", templates or TEMPLATES | FULL_TEXTS, least)).select("doc_id", *_once(plain=_plain("text")))
     # unit 0 is the whole text if it has several lines, unit n its line n
     whole = F.when(F.contains("plain", F.lit("\n")), _one_line("plain")).otherwise("")
     units = texts.select("doc_id", F.posexplode(F.concat(F.array(whole), F.split("plain", "\n"))).alias("unit", "line"))
@@ -149,23 +157,52 @@ def _apart(passages: Column, kind: str) -> Column:
     return F.aggregate(F.array_sort(passages), F.expr(f"cast(array() as array<{kind}>)"), lambda kept, c: F.when(F.exists(kept, lambda k: clash(k, c)), kept).otherwise(F.concat(kept, F.array(c))))
 
 
+#: Anchor sets of a template that a text is searched for.
+ANCHOR_SETS = 4
+
 _COMMON = frozenset("a all and any are as at be by for from in is it of on or that the this to with you".split())
 
 
-def anchors(grams: list[str], need: int) -> set[str]:
+def anchors(grams: list[str], need: int, apart_from: frozenset[str] = frozenset()) -> set[str]:
     """Words without which fewer than ``need`` of ``grams`` remain; common words
-    only if others don't suffice."""
+    only if others don't suffice. None of ``apart_from``; empty if the rest doesn't suffice."""
     left, out = set(grams), set()
     while len(left) >= need:
         held: dict[str, int] = {}
         for g in left:
-            for w in set(g.split()):
+            for w in set(g.split()) - apart_from:
                 held[w] = held.get(w, 0) + 1
+        if not held:
+            return set()
         out.add(max(sorted(held), key=lambda w: (w not in _COMMON, held[w])))
         left = {g for g in left if out.isdisjoint(g.split())}
     return out
 
 
+def anchor_sets(grams: list[str], need: int) -> list[set[str]]:
+    """Disjoint sets of words; whatever has ``need`` of ``grams`` has a word of each."""
+    out: list[set[str]] = []
+    while len(out) < ANCHOR_SETS and (words := anchors(grams, need, frozenset().union(*out))):
+        out.append(words)
+    return out
+
+
+def _need(size: int, lo: int, least: float) -> int:
+    """The fewest bigrams of a template of ``size`` that whatever reaches it shares."""
+    return next(k for k in range(1, size + 1) if 2 * k / (max(k, lo) + size) >= least)
+
+
+def _may_match(low: str, templates: dict[str, str], least: float) -> Column:
+    """Whether the lower-cased text has a word of each anchor set of a template."""
+    every = []
+    for name in sorted(templates):
+        grams = sorted(bigrams(templates[name]))
+        sets = anchor_sets(grams, _need(len(grams), _bounds(len(grams), least)[0], least))
+        has = [functools.reduce(operator.or_, (F.contains(low, F.lit(w)) for w in sorted(words))) for words in sets]
+        every.append(functools.reduce(operator.and_, has))
+    return functools.reduce(operator.or_, every)
+
+
 def _passages(texts: DataFrame, lines_known: Column, templates: dict[str, str], least: float) -> DataFrame:
     names = sorted(templates)
     rows, every, rare = [], set(), set()
@@ -173,7 +210,7 @@ def _passages(texts: DataFrame, lines_known: Column, templates: dict[str, str],
         grams = sorted(bigrams(templates[name]))
         every.update(grams)
         lo, hi = _bounds(len(grams), least)
-        need = next(k for k in range(1, len(grams) + 1) if 2 * k / (max(k, lo) + len(grams)) >= least)
+        need = _need(len(grams), lo, least)
         rare |= anchors(grams, need)
         rows.append(F.struct(F.lit(rank).alias("rank"), F.lit(hi).alias("hi"), F.lit(need).alias("need"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")))
     known = F.array(*rows)

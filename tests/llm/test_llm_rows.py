@@ -288,6 +288,19 @@ def test_license_ties_and_long_texts(spark):
     assert got[1, 1] == ("A", 0.75) and got[2, 2] == ("B", 1.0) and {d for d, _ in got} == {1, 2}
 
 
+def test_licence_texts_left_before_normalisation(spark):
+    every = licenses.TEMPLATES | licenses.FULL_TEXTS
+    forms = [str, str.upper, str.title, lambda t: t.replace(" ", "\n"), lambda t: f"\u0130\u0131\u212a {t}\U0001f600", lambda t: t.replace("i", "I").replace(" ", "\u00e9")]
+    found = [f(t) for t in every.values() for f in forms]
+    left = ["", "the mit, under the sun", "a license of 2 years", "transmitted under the lens", "free and into the open", "all rights"]
+    rows = spark.createDataFrame([(t, True) for t in found] + [(t, False) for t in left], "text string, want boolean")
+    rows = rows.withColumn("low", F.lower("text"))
+    got = rows.select("text", "want", licenses._may_match("low", every, licenses.LEAST).alias("got")).collect()
+    assert [r.text for r in got if r.want != r.got] == []
+    texts = rows.select(F.monotonically_increasing_id().alias("doc_id"), "text")
+    assert licenses.matches(texts).select("doc_id").distinct().count() == len(found)
+
+
 def test_license_normalisation(spark):
     odd = ["é A--B\n\nC\0d", "😀x😀😀Y", "a\tb\r\nc", "ÀZ１2", "", "  a  b "]
     rows = spark.createDataFrame([(t,) for t in odd], "text string")

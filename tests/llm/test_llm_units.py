@@ -222,3 +222,13 @@ def test_licence_anchors_lose_nothing():
         for need in range(1, len(grams) + 1):
             words = licenses.anchors(grams, need)
             assert sum(words.isdisjoint(g.split()) for g in grams) < need
+
+
+def test_licence_anchor_sets_lose_nothing():
+    for text in (licenses.TEMPLATES | licenses.FULL_TEXTS).values():
+        grams = sorted(licenses.bigrams(text))
+        for need in range(1, len(grams) + 1):
+            sets = licenses.anchor_sets(grams, need)
+            assert sets and sum(map(len, sets)) == len(set().union(*sets))
+            for words in sets:
+                assert sum(words.isdisjoint(g.split()) for g in grams) < need
