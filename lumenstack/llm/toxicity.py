@@ -209,11 +209,15 @@ def found_in(texts: list[str], lexicon: Lexicon) -> Iterator[tuple[int, str, str
                     yield n, w, *known[w], window(text, spans, words, i)
 
 
-def exposures(texts: list[str], lexicon: Lexicon, model: ToxicityModel) -> tuple[np.ndarray, list[list[dict]]]:
-    """For each text the logarithms of its exact, misspelt and quoted exposure; its hits."""
+def exposures(texts: list[str], lexicon: Lexicon, model: ToxicityModel | None = None) -> tuple[np.ndarray, list[list[dict]]]:
+    """For each text the logarithms of its exact, misspelt and quoted exposure; its hits.
+    Without a model the prior tells quotation, and a hit is wholly quoted or not."""
+    context, base = (model.context, model.base) if model else (PRIOR_CONTEXT, BASE)
     out, every = np.zeros((len(texts), 3)), [[] for _ in texts]
     for n, word, term, distance, features in found_in(texts, lexicon):
-        quoted = quotation(features, model.context, model.base)
+        quoted = quotation(features, context, base)
+        if model is None:
+            quoted = float(quoted > 0.5)
         weight = lexicon.weights[term] / (1 + distance)
         out[n, 1 if distance else 0] += weight * (1 - quoted)
         out[n, 2] += weight * quoted

@@ -208,6 +208,16 @@ def test_context_tells_quotation():
     assert hits[1][0]["quoted"] and hits[2][0]["distance"] == 1
 
 
+def test_context_without_a_model_is_the_prior():
+    lexicon = toxicity.Lexicon({"moron": 4.0})
+    texts = ["you moron", "moron", 'he called them "moron" in a comment']
+    x, hits = toxicity.exposures(texts, lexicon)
+    assert [h[0]["quoted"] for h in hits] == [0.0, 0.0, 1.0]
+    fitted, soft = toxicity.exposures(texts, lexicon, toxicity.ToxicityModel({"moron": 4.0}))
+    assert [h[0]["quoted"] > 0.5 for h in soft] == [False, False, True] and 0 < soft[2][0]["quoted"] < 1
+    assert x[2, 0] == 0 < fitted[2, 0]
+
+
 def test_licence_bounds_lose_nothing():
     for n in range(1, 60):
         lo, hi = licenses._bounds(n, licenses.LEAST)
