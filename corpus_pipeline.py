@@ -15,6 +15,8 @@ from lumenstack.llm.common import staged, table, tokenizer_file
 
 #: Share of their five-word shingles from which documents are near copies here.
 NEAR = 0.8
+#: Words that a packing worker keeps the ids of: memory that earlier stages' executors have left.
+WORDS = 174_762
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), separator=0, with_ids=True)
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), separator=0, with_ids=True, cached=WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

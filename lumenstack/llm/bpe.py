@@ -16,8 +16,9 @@ import numpy as np
 import regex
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct parts that a worker keeps; others are merged anew each time.
-CACHED_PARTS = 700_000
+#: Distinct parts that a worker keeps; others are merged anew each time. A dict's
+#: table doubles beyond 2/3 of a power of two, here of 2^20.
+CACHED_PARTS = 699_050
 
 
 class _Irregular(Exception):
@@ -53,7 +54,7 @@ class _Parts(dict):
             ids = self[first[1:]] if rest else self.owner.merge(first)
             if rest:
                 ids += b"".join(map(self.owner.merge, rest))
-        if len(self) < CACHED_PARTS:
+        if len(self) < self.owner.cached:
             self[part] = ids
         return ids
 
@@ -61,7 +62,7 @@ class _Parts(dict):
 class ByteLevelBpe:
     """Encodes to packed little-endian ids: 16 bits where the vocabulary fits, else 32."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_PARTS):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -71,6 +72,7 @@ class ByteLevelBpe:
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self.pattern = regex.compile(PATTERN)
         self._chars = str.maketrans({chr(b): c for b, c in enumerate(_byte_chars())})
+        self.cached = cached
         self._parts = _Parts(self)
 
     def pack(self, ids: list[int]) -> bytes:
@@ -93,11 +95,11 @@ class ByteLevelBpe:
             return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
 
-_encoders: dict[str, ByteLevelBpe] = {}
+_encoders: dict[tuple[str, int], ByteLevelBpe] = {}
 
 
-def encoder(path: str) -> ByteLevelBpe:
-    """One encoder for each file in a Python worker, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = ByteLevelBpe(path)
-    return _encoders[path]
+def encoder(path: str, cached: int = CACHED_PARTS) -> ByteLevelBpe:
+    """One encoder for each file and bound in a Python worker, kept from task to task."""
+    if (path, cached) not in _encoders:
+        _encoders[path, cached] = ByteLevelBpe(path, cached)
+    return _encoders[path, cached]

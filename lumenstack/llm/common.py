@@ -67,10 +67,10 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = min(batch.num_rows, int(np.searchsorted(ends, before + limit, "left")) + 1)
             yield batch.slice(start, stop - start), [t or "" for t in values.slice(start, stop - start).to_pylist()]
             start = stop
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """At a task's end, returns freed memory to the system: workers live on, and
     those of earlier stages would hold theirs while later stages run."""
     pa.default_memory_pool().release_unused()

@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lumenstack.llm import exact_dedup, langid, licenses, media, minhash, packing, pieces, quality, token_files, toxicity
+from lumenstack.llm import bpe, exact_dedup, langid, licenses, media, minhash, packing, pieces, quality, token_files, toxicity
 from lumenstack.llm.common import scratch_path, tokenizer_file
 
 BPE = tokenizer_file("byte_bpe_50k.json")
@@ -63,6 +65,47 @@ def test_packing(docs, none):
     assert packing.pack(none, BPE).count() == 0
 
 
+def test_packing_returns_bounded_slices(spark, monkeypatch):
+    """The second pass, called as a task does: a text or many texts in one batch
+    don't come back as one batch, and the pieces are the same."""
+    sizes = [3, 5_000_000, 1, *[900] * 3000, 1024, 2]
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 50_000, n, dtype=np.uint16).tobytes() for n in sizes]
+    before = np.cumsum(sizes) - sizes
+    n = len(sizes)
+    whole = pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(range(n)), pa.array(before), pa.array(sizes), pa.array(texts, pa.binary())], names=["part", "doc_id", "before", "n", "ids"])
+
+    class Encoded:
+        groupBy = agg = lambda self, *_: self
+
+        def collect(self):
+            return [(0, sum(sizes))]
+
+        def mapInArrow(self, cut, schema):
+            return cut
+
+    monkeypatch.setattr(packing, "encode_documents", lambda *_: Encoded())
+    cut = packing.pack(types.SimpleNamespace(sparkSession=spark), BPE, with_ids=True)
+    out = list(cut([whole.slice(0, 2), whole.slice(2)]))
+    assert max(b.nbytes for b in out) < 4 << 20
+    rows = [r for b in out for r in b.to_pylist()]
+    assert b"".join(np.array(r["ids"], "<u2").tobytes() for r in rows) == b"".join(texts)
+    at = 0
+    for r in rows:
+        assert (r["sequence_id"] * 1024 + r["offset"], before[r["doc_id"]] + r["start"], len(r["ids"])) == (at, at, r["length"])
+        assert 0 < r["length"] <= 1024 - r["offset"] and r["doc_tokens"] == sizes[r["doc_id"]]
+        assert zlib.crc32(np.array(r["ids"], "<u4")) == r["ids_crc32"]
+        at += r["length"]
+    assert at == sum(sizes)
+
+
+def test_few_cached_parts_give_the_same_ids():
+    texts = ["one two three two one " * 3, "four five"]
+    few = bpe.ByteLevelBpe(BPE, 2)
+    assert [few.encode(t) for t in texts] == [bpe.ByteLevelBpe(BPE).encode(t) for t in texts]
+    assert len(few._parts) == 2
+
+
 def test_media(docs, none):
     got = {(r.doc_id, r.n_bytes): r for r in media.digest(docs).collect()}
     for doc, text, _ in ROWS:
