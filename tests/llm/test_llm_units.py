@@ -28,6 +28,26 @@ def test_byte_level_encoder_equals_the_library():
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == enc.library.encode(text, add_special_tokens=False).ids
 
 
+def test_parts_that_come_once_take_no_room(monkeypatch):
+    enc = bpe.ByteLevelBpe(tokenizer_file("byte_bpe_50k.json"), 3)
+    once = "x " + " ".join(f"{a}{b}q" for a in "abcde" for b in "fghij")
+    often = "x " + " ".join(["often", "words,***", "often.\nThe", "12,***"] * 50)
+    want = [enc.library.encode(t, add_special_tokens=False).ids for t in (once, often)]
+    merged, merge = [], enc.merge
+    monkeypatch.setattr(enc, "merge", lambda piece: merged.append(piece) or merge(piece))
+    assert [np.frombuffer(enc.encode(t), enc.dtype).tolist() for t in (once, often)] == want
+    assert len(enc._parts) == 3
+    assert merged.count(" often") <= 2 and merged.count(",***") == 1
+
+
+def test_ends_of_parts_and_new_letters_equal_the_library():
+    enc = bpe.ByteLevelBpe(tokenizer_file("byte_bpe_50k.json"))
+    unlike = [c for c in map(chr, range(0x110000)) if not c.isalpha() and enc.letters.match(c)]  # newer than Python's letters
+    words = ["it's'll", "'sit", "e\u0301a", "a1b2", "½x", "x½", "x\n\ny", "x\u00a0", "x\u3000\u3000y", "x\u200by.\t", "_a_", "naïve!?'re", "x<|endoftext|>"]
+    for text in [f"a {w} {w} {w} b" for w in words] + words + [f"a {c} {c}{c}. x{c}y" for c in unlike[:20]]:
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == enc.library.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_equal_the_library():
     m = pieces.PieceModel(tokenizer_file("piece_bpe_32k.model"))
     texts = [*ODD, "▁ ▁a", "a▁b", "    code\n    more", "Shared prefixes: share shared sharing"]
