@@ -424,7 +424,8 @@ def confusion_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parts as exported pictures of camera files; RAWs of two thirds of them."""
     k = F.col("p_partkey")
-    name = F.concat(F.lit("IMG_"), F.lpad(k.cast("string"), 6, "0"))
+    digits = k.cast("string")
+    name = F.concat(F.lit("IMG_"), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")))  # lpad would cut longer ones
     tail = F.element_at(F.array(*map(F.lit, ["", "-edit", "-2"])), (k % 3 + 1).cast("int"))
     time = F.timestamp_seconds(F.lit(1_700_000_000) + k * 60)
     ratio = scores.aspect_ratio(F.col("p_size"), F.lit(10))
