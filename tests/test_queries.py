@@ -44,7 +44,7 @@ def test_active_listing_is_whole(spark):
     assert len(jobs) > 50 and [r.priority for r in jobs] == sorted((r.priority for r in jobs), reverse=True)
 
 
-@pytest.mark.parametrize("name", ["match_decisions", "match_status_counts"])
+@pytest.mark.parametrize("name", ["match_decisions", "match_scores", "match_status_counts"])
 def test_parts_with_long_numbers_keep_their_names(spark, tmp_path, name):
     keys = [*range(100_000, 100_006), *range(1_000_000, 1_000_060), *range(12_345_678, 12_345_690)]
     spark.createDataFrame([(k, "Brand#11", "TIN", 1 + k % 50) for k in keys], "p_partkey bigint, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
